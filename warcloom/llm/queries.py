@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .mixing import OP4_SQL, op4_mixing_curriculum
 from .ngram_join import OP6_SQL, op6_ngram_jaccard_join
+from .packing import op2_best_fit_packing
+from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_mixing_curriculum": op4_mixing_curriculum,
+    "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
 
 ORACLE_SQL = {
+    "op1_exact_dedup": OP1_SQL,
+    "op4_mixing_curriculum": OP4_SQL,
     "op6_ngram_jaccard_join": OP6_SQL,
 }
