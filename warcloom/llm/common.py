@@ -41,9 +41,9 @@ def remove(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
-def cut(df: DataFrame, path: str) -> DataFrame:
+def cut(df: DataFrame, path: str, codec: str = "snappy") -> DataFrame:
     """Write df to a table in the shared folder and read it back: later stages start from files that outlive any executor."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -104,7 +104,7 @@ def text_buffers(array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def slices(offsets: np.ndarray, size: int = 1 << 21):
+def slices(offsets: np.ndarray, size: int = 1 << 20):
     """Runs of whole documents of about so many bytes; a longer document is a run of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:

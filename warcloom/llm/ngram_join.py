@@ -1,7 +1,8 @@
 """All pairs of documents whose sets of word n-grams have a Jaccard similarity of at least a threshold.
 
 The document by n-gram incidence matrix A is multiplied with its transpose in blocks, and pairs that their sizes rule
-out are discarded as early as the counts allow. The result is exact.
+out are discarded as early as the counts allow. The result is exact (n-grams are told apart by a hash of 40 bits and
+more, growing with the input: as many as number the blocks come on top).
 
 1. Columns. Each task hashes its documents' n-grams and sends them, packed, to blocks of columns. A block knows how many
    documents have each of its n-grams. A column of one document adds nothing to any product and is dropped here.
@@ -26,17 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, gram_hashes, mix, new_dir, one_row_per_id, remove, slices, spread, text_buffers, word_hashes
+from .common import cut, documents, gram_hashes, mix, new_dir, one_row_per_id, remove, slices, text_buffers, word_hashes
 
 N_GRAM = 3
 THRESHOLD = 0.6
 #: Incidences that a block of columns or of rows holds about, so that it fits in a Python worker.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
+#: Prefix tokens that a block of them holds about: the fewer blocks, the fewer repeats of a candidate pair.
+TOKENS = 2_000_000
 
-_COLS = "block long, docs binary, counts binary, hashes binary"
-_SHARED = "bucket long, docs binary, values binary, dfs binary"
-_ROWS = "doc_id long, size long, n_shared long, anchor long, sig binary, hashes binary, tokens binary"
-_EMPTY = b""
+_COLS = "block long, flush long, docs binary, counts binary, hashes binary"
+_SHARED = "flush long, block long, docs binary, counts binary, values binary, dfs binary"
+_ROWS = "doc_id long, size long, n_shared long, anchor long, sig binary, n_prefix long, columns binary"
 
 
 def least(size, t: float):
@@ -60,33 +62,46 @@ def _split(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return order, k[at], np.r_[at, len(k)]
 
 
-def _incidence(n: int, blocks: int, buckets: int):
-    """Documents to packed columns; a block below 0 carries the sizes of bucket -1-block."""
+def _steps(index: np.ndarray) -> bytes:
+    """Rising numbers as differences, a byte each where they fit, else two or four."""
+    d = np.diff(index, prepend=0)
+    most = int(d.max()) if len(d) else 0
+    kind = np.uint8 if most < 256 else np.uint16 if most < 65_536 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + d.astype(kind).tobytes()
 
-    def flush(docs, grams):
-        doc = np.concatenate([np.repeat(d, c) for d, c, _ in docs])
-        h = np.concatenate(grams)
-        out = {"block": [], "docs": [], "counts": [], "hashes": []}
-        order, keys, at = _split((h >> np.uint64(33)) % np.uint64(blocks), blocks)
-        for k, i, j in zip(keys.tolist(), at[:-1], at[1:]):
-            d = doc[order[i:j]]  # the documents' order is kept, so runs are whole
-            run = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-            out["block"].append(k)
-            out["docs"].append(d[run].tobytes())
-            out["counts"].append(np.diff(np.r_[run, len(d)]).astype(np.int32).tobytes())
-            out["hashes"].append(h[order[i:j]].tobytes())
+
+def _unstep(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64))
+
+
+def _incidence(n: int, blocks: int):
+    """Documents to packed columns, a flush of documents at a time; within one, a document is its number.
+
+    A hash keeps 40 bits beside those that choose its block. A row of block -1-flush has the flush's ids, sizes and
+    signatures, and goes past the columns.
+    """
+
+    def flush(key, docs, grams):
         ids, sizes = np.concatenate([d for d, _, _ in docs]), np.concatenate([c for _, c, _ in docs])
         sums, xors = (np.concatenate([s[k] for _, _, s in docs]) for k in (0, 1))
-        order, keys, at = _split(spread(ids) % np.uint64(buckets), buckets)
-        for k, i, j in zip(keys.tolist(), at[:-1], at[1:]):
-            o = order[i:j]
-            out["block"].append(-1 - k)
-            out["docs"].append(ids[o].tobytes())
-            out["counts"].append(sizes[o].astype(np.int64).tobytes())
-            out["hashes"].append(np.stack([sums[o], xors[o]], 1).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int64()), *(pa.array(out[c], pa.binary()) for c in ("docs", "counts", "hashes"))], names=["block", "docs", "counts", "hashes"])
+        doc = np.repeat(np.arange(len(ids)), sizes)
+        h = np.concatenate(grams)
+        order, keys, at = _split(mix(h) % np.uint64(blocks), blocks)
+        h = h.view(np.uint8).reshape(-1, 8)[:, :5]
+        cuts = [order[i:j] for i, j in zip(at[:-1], at[1:])]
+        last = np.stack([sums, xors], 1).tobytes()
+        return pa.RecordBatch.from_arrays([
+            pa.array([*keys.astype(np.int64).tolist(), -1 - key], pa.int64()),
+            pa.array([key] * (len(cuts) + 1), pa.int64()),
+            pa.array([*(_steps(doc[o]) for o in cuts), ids.tobytes()], pa.binary()),
+            pa.array([*(b"" for _ in cuts), sizes.astype(np.int64).tobytes()], pa.binary()),
+            pa.array([*(h[o].tobytes() for o in cuts), last], pa.binary()),
+        ], names=["block", "flush", "docs", "counts", "hashes"])
 
     def run(batches):
+        from pyspark import TaskContext
+
+        key = TaskContext.get().partitionId() << 24
         docs, grams, held = [], [], 0
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -101,77 +116,81 @@ def _incidence(n: int, blocks: int, buckets: int):
                 grams.append(h)
                 held += len(h)
                 if held >= BLOCK:
-                    yield flush(docs, grams)
-                    docs, grams, held = [], [], 0
+                    yield flush(key, docs, grams)
+                    docs, grams, held, key = [], [], 0, key + 1
         if held:
-            yield flush(docs, grams)
+            yield flush(key, docs, grams)
 
     return run
 
 
-def _columns(buckets: int):
-    """A block of columns to the incidences of its columns that more than one document has, by bucket of documents."""
-
-    def run(key, table):
-        block = key[0].as_py()
-        if block < 0:
-            return pa.table({"bucket": pa.array([-1 - block] * len(table), pa.int64()), "docs": table["docs"], "values": table["hashes"], "dfs": table["counts"], "kind": pa.array([0] * len(table), pa.int32())})
-        doc = np.repeat(_join(table["docs"], np.int64), _join(table["counts"], np.int32))
-        h = _join(table["hashes"], np.uint64)
-        order = np.argsort(h)
-        h = h[order]
-        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        df = np.repeat(np.diff(np.r_[at, len(h)]), np.diff(np.r_[at, len(h)]))
-        keep = df > 1
-        doc, h, df = doc[order][keep], h[keep], df[keep]
-        order, keys, at = _split(spread(doc) % np.uint64(buckets), buckets)
-        doc, h, df = doc[order], h[order], df[order].astype(np.uint32)
-        cuts = list(zip(at[:-1], at[1:])) if len(doc) else []
-        return pa.table({
-            "bucket": pa.array(keys.astype(np.int64) if cuts else [], pa.int64()),
-            "docs": pa.array([doc[i:j].tobytes() for i, j in cuts], pa.binary()),
-            "values": pa.array([h[i:j].tobytes() for i, j in cuts], pa.binary()),
-            "dfs": pa.array([df[i:j].tobytes() for i, j in cuts], pa.binary()),
-            "kind": pa.array([1] * len(cuts), pa.int32()),
-        })
-
-    return run
+def _columns(key, table):
+    """A block of columns to the incidences of its columns that more than one document has, by flush of documents."""
+    block = key[0].as_py()
+    if block < 0:
+        none = pa.array([b""] * len(table), pa.binary())
+        return pa.table({"flush": table["flush"], "block": table["block"], "docs": table["docs"], "counts": table["counts"], "values": table["hashes"], "dfs": none})
+    docs = [_unstep(x) for x in table["docs"].to_pylist()]
+    flush = np.repeat(table["flush"].to_numpy(), [len(d) for d in docs])
+    doc = np.concatenate(docs)
+    h = np.zeros((len(doc), 8), np.uint8)
+    h[:, :5] = _join(table["hashes"], np.uint8).reshape(-1, 5)
+    h = h.view(np.uint64)[:, 0]
+    order = np.argsort(h)
+    h, doc, flush = h[order], doc[order], flush[order]
+    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    count = np.diff(np.r_[at, len(h)])
+    number = np.repeat(np.arange(len(at), dtype=np.uint32), count)
+    df = np.repeat(count, count)
+    keep = df > 1
+    doc, flush, number, df = doc[keep], flush[keep], number[keep], np.minimum(df[keep], 255).astype(np.uint8)
+    order = np.lexsort((doc, flush))
+    doc, flush, number, df = doc[order], flush[order], number[order], df[order]
+    at = np.flatnonzero(np.r_[True, flush[1:] != flush[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    cuts = list(zip(at.tolist(), np.r_[at[1:], len(doc)].tolist()))
+    return pa.table({
+        "flush": pa.array(flush[at], pa.int64()),
+        "block": pa.array([block] * len(at), pa.int64()),
+        "docs": pa.array([_steps(doc[i:j]) for i, j in cuts], pa.binary()),
+        "counts": pa.array([b""] * len(at), pa.binary()),
+        "values": pa.array([number[i:j].tobytes() for i, j in cuts], pa.binary()),
+        "dfs": pa.array([df[i:j].tobytes() for i, j in cuts], pa.binary()),
+    })
 
 
 def _survivors(t: float):
-    """A bucket of documents: those that share enough columns, each with its shared n-grams by document count, and its prefix."""
+    """A flush of documents: those that share enough columns, each with its shared n-grams by document count, and its prefix."""
 
     def run(key, table):
         import pyarrow.compute as pc
 
-        size_rows, rest = table.filter(pc.equal(table["kind"], 0)), table.filter(pc.equal(table["kind"], 1))
-        ids, sizes = _join(size_rows["docs"], np.int64), _join(size_rows["dfs"], np.int64)
+        size_rows, rest = table.filter(pc.less(table["block"], 0)), table.filter(pc.greater_equal(table["block"], 0))
+        ids, sizes = _join(size_rows["docs"], np.int64), _join(size_rows["counts"], np.int64)
         sigs = _join(size_rows["values"], np.uint64).reshape(-1, 2)
-        doc, h, df = _join(rest["docs"], np.int64), _join(rest["values"], np.uint64), _join(rest["dfs"], np.uint32)
-        by_id = np.argsort(ids)
-        ids, sizes, sigs = ids[by_id], sizes[by_id], sigs[by_id]
-        row = np.searchsorted(ids, doc)
+        per = np.array([len(x) for x in _flat(rest["dfs"])], np.int64)
+        column = (np.repeat(rest["block"].to_numpy(), per).astype(np.uint64) << np.uint64(32)) | _join(rest["values"], np.uint32)
+        row = np.concatenate([_unstep(x) for x in rest["docs"].to_pylist()] or [np.zeros(0, np.int64)])
+        df = _join(rest["dfs"], np.uint8)
         shared = np.bincount(row, minlength=len(ids))
         keep = (shared >= least(sizes, t)) & (shared > 0)
         mask = keep[row]
-        row, h, df = row[mask], h[mask], df[mask]
-        order = np.lexsort((h, df, row))
-        row, h = row[order], h[order]
+        row, column, df = row[mask], column[mask], df[mask]
+        order = np.lexsort((column, df, row))
+        row, column = row[order], column[order]
         at = np.searchsorted(row, np.flatnonzero(keep))
-        ends = np.r_[at[1:], len(row)]
-        out = {c: [] for c in ("doc_id", "size", "n_shared", "anchor", "sig", "hashes", "tokens")}
-        for r, i, j in zip(np.flatnonzero(keep).tolist(), at.tolist(), ends.tolist()):
+        out = {c: [] for c in ("doc_id", "size", "n_shared", "anchor", "sig", "n_prefix", "columns")}
+        for r, i, j in zip(np.flatnonzero(keep).tolist(), at.tolist(), np.r_[at[1:], len(row)].tolist()):
             size = int(sizes[r])
-            prefix = size - int(least(size, t)) + 1 - (size - (j - i))  # what is left of it after the n-grams of no other document
-            x = h[i:j]
+            x = column[i:j]
             out["doc_id"].append(int(ids[r]))
             out["size"].append(size)
             out["n_shared"].append(j - i)
-            out["anchor"].append(int(x.min().view(np.int64)))
+            out["anchor"].append(int(x.min()))
             out["sig"].append(sigs[r].tobytes() + size.to_bytes(8, "little"))
-            out["tokens"].append(x[: max(0, prefix)].tobytes())
-            out["hashes"].append(np.sort(x).tobytes())
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "size": pa.array(out["size"], pa.int64()), "n_shared": pa.array(out["n_shared"], pa.int64()), "anchor": pa.array(out["anchor"], pa.int64()), "sig": pa.array(out["sig"], pa.binary()), "hashes": pa.array(out["hashes"], pa.binary()), "tokens": pa.array(out["tokens"], pa.binary())})
+            # what is left of the prefix after the n-grams of no other document
+            out["n_prefix"].append(max(0, size - int(least(size, t)) + 1 - (size - (j - i))))
+            out["columns"].append(x.tobytes())
+        return pa.table({c: pa.array(v, pa.binary() if c in ("sig", "columns") else pa.int64()) for c, v in out.items()})
 
     return run
 
@@ -181,16 +200,16 @@ def _tokens(blocks: int):
 
     def flush(parts):
         h, d, s = (np.concatenate(x) for x in zip(*parts))
-        order, keys, at = _split((h >> np.uint64(17)) % np.uint64(blocks), blocks)
+        order, keys, at = _split(mix(h) % np.uint64(blocks), blocks)
         h, d, s = h[order], d[order], s[order]
         cuts = list(zip(at[:-1], at[1:]))
-        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *(pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in (h, d, s))], names=["block", "docs", "counts", "hashes"])
+        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array([0] * len(cuts), pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in (h, d, s))], names=["block", "flush", "docs", "counts", "hashes"])
 
     def run(batches):
         parts, held = [], 0
         for b in batches:
-            for doc, size, tokens in zip(*(b.column(k).to_pylist() for k in range(3))):
-                h = np.frombuffer(tokens, np.uint64)
+            for doc, size, columns, prefix in zip(*(b.column(k).to_pylist() for k in range(4))):
+                h = np.frombuffer(columns, np.uint64)[:prefix]
                 if not len(h):
                     continue
                 parts.append((h, np.full(len(h), doc, np.int64), np.full(len(h), size, np.int64)))
@@ -225,7 +244,7 @@ def _candidates(t: float):
         seen_a, seen_b, held = [], [], 0
         i = 0
         while i < n:
-            j = max(i + 1, int(np.searchsorted(whole, (whole[i - 1] if i else 0) + 2 * BLOCK, side="right")))
+            j = max(i + 1, int(np.searchsorted(whole, (whole[i - 1] if i else 0) + BLOCK, side="right")))
             c = np.maximum(count[i:j], 0)
             left = np.repeat(np.arange(i, j), c)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
@@ -234,7 +253,7 @@ def _candidates(t: float):
             seen_a.append(a)
             seen_b.append(b)
             held += len(a)
-            if held > 4 * BLOCK:
+            if held > 2 * BLOCK:
                 yield _pairs(*_once(np.concatenate(seen_a), np.concatenate(seen_b)))
                 seen_a, seen_b, held = [], [], 0
             i = j
@@ -261,7 +280,7 @@ def _products(t: float):
     def run(key, pairs, sets):
         ids, sizes = sets["doc_id"].to_numpy(), sets["size"].to_numpy()
         order = np.argsort(ids)
-        blobs = sets["hashes"].to_pylist()
+        blobs = sets["columns"].to_pylist()
         grams = [np.frombuffer(blobs[k], np.uint64) for k in order]
         ids, sizes = ids[order], sizes[order]
         start = np.r_[0, np.cumsum([len(g) for g in grams])]
@@ -310,24 +329,26 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / 6 / block))
     at = new_dir(spark, "ngram-join")
-    columns = docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(_incidence(n, blocks, blocks), _COLS)
-    shared = columns.groupBy("block").applyInArrow(_columns(blocks), _SHARED + ", kind int")
-    rows = cut(shared.groupBy("bucket").applyInArrow(_survivors(threshold), _ROWS), f"{at}/rows")
+    columns = docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(_incidence(n, blocks), _COLS)
+    shared = columns.groupBy("block").applyInArrow(_columns, _SHARED)
+    rows = cut(shared.groupBy("flush").applyInArrow(_survivors(threshold), _ROWS), f"{at}/rows", "zstd")
     # documents of the same set
     lead = cut(rows.groupBy("sig").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1"), f"{at}/lead")
     named = rows.select("doc_id", "size", "sig").join(lead, "sig")
     same = named.where("doc_id <> lead").select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    first = cut(rows.drop("sig").join(same.select(F.col("doc_b").alias("doc_id")), "doc_id", "left_anti"), f"{at}/first")
-    n_tokens = first.agg(F.coalesce(F.sum(F.octet_length("tokens").cast("long")), F.lit(0))).first()[0] // 8
-    token_blocks = max(1, math.ceil(n_tokens / block))
-    pairs = first.select("doc_id", "size", "tokens").mapInArrow(_tokens(token_blocks), _COLS).groupBy("block").applyInArrow(_candidates(threshold), "doc_a long, doc_b long").distinct()
+    same = cut(same, f"{at}/same")
+    first = cut(rows.drop("sig").join(same.select(F.col("doc_b").alias("doc_id")), "doc_id", "left_anti"), f"{at}/first", "zstd")
+    remove(spark, f"{at}/rows")
+    n_tokens = first.agg(F.coalesce(F.sum("n_prefix"), F.lit(0))).first()[0]
+    token_blocks = max(1, math.ceil(n_tokens / TOKENS))
+    pairs = first.select("doc_id", "size", "columns", "n_prefix").mapInArrow(_tokens(token_blocks), _COLS).groupBy("block").applyInArrow(_candidates(threshold), "doc_a long, doc_b long").distinct()
     pairs = cut(pairs.join(first.select(F.col("doc_id").alias("doc_a"), "anchor"), "doc_a"), f"{at}/pairs")
     # A block of rows: documents with the same least n-gram are near each other; large ones are divided in both directions.
     per = pairs.groupBy("anchor").agg(F.ceil(F.sqrt(F.count("*") / float(block))).cast("long").alias("parts"))
     pairs = pairs.join(per, "anchor").select("doc_a", "doc_b", F.xxhash64(F.pmod(F.xxhash64("anchor"), F.lit(64 * blocks)), F.pmod(F.xxhash64("doc_a"), "parts"), F.pmod(F.xxhash64("doc_b"), "parts")).alias("tile"))
     pairs = cut(pairs, f"{at}/tiles")
     needed = pairs.select(F.col("tile").alias("at"), F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
-    sets = needed.join(first.select("doc_id", "size", "hashes"), "doc_id")
+    sets = needed.join(first.select("doc_id", "size", "columns"), "doc_id")
     near = pairs.groupBy("tile").cogroup(sets.groupBy("at")).applyInArrow(_products(threshold), _PAIRS)
     out = cut(near.unionByName(same), f"{at}-pairs")
     remove(spark, at)
