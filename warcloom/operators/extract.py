@@ -51,6 +51,7 @@ def extract_content(kinds: pd.Series, blocks: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["data", "error"], dtype=object)
 
 
+
 def path_components(target: str | Column = "target_uri", typ: Column | None = None, content_kind: str | Column = "content_kind") -> Column:
     """Safe path of a record's content, a conversion marked at its end; empty where there is no content."""
     typ = field_or_empty("fields", "WARC-Type") if typ is None else typ
@@ -60,17 +61,36 @@ def path_components(target: str | Column = "target_uri", typ: Column | None = No
     return F.when(kind.isNotNull(), marked).otherwise(F.array().cast("array<string>"))
 
 
-def extracted(records: DataFrame, continue_on_error: bool = False) -> DataFrame:
-    """file, record_index, record_id, components, is_truncated, data, error of the records that hold content (or failed to)."""
-    c = with_content(records).where("content_kind IS NOT NULL OR content_error IS NOT NULL")
-    c = c.withColumn("_x", extract_content("content_kind", "block"))
-    out = c.select("file", "record_index", field_or_empty("fields", "WARC-Record-ID").alias("record_id"), path_components().alias("components"), "is_truncated", F.col("_x.data").alias("data"), F.coalesce("content_error", "_x.error").alias("error"))
-    return out if continue_on_error else out.withColumn("data", F.when(F.col("error").isNull(), F.col("data")).otherwise(F.raise_error(F.concat(F.col("record_id"), F.lit(": "), F.col("error")))))
+_EXTRACTED = "file string, record_index long, record_id string, components array<string>, is_truncated boolean, data binary, hash string, error string"
+
+
+def _extract(continue_on_error: bool):
+    def run(batches):
+        for pdf in batches:
+            data, marks, errors = [], [], []
+            for kind, block, error, rid in zip(pdf["content_kind"], pdf["block"], pdf["content_error"], pdf["record_id"]):
+                out = None
+                if error is None:
+                    try:
+                        out = http1.decode(bytes(block))[0].body if kind == "http" else bytes(block)
+                    except ArchiveError as e:
+                        error = e.kind
+                if error is not None and not continue_on_error:
+                    raise ProtocolError(error, record_id=rid)
+                data.append(out)
+                marks.append(None if out is None else f"{hashes.xxh3_64(out):016x}")
+                errors.append(error)
+            yield pdf[["file", "record_index", "record_id", "components", "is_truncated"]].assign(data=data, hash=marks, error=errors)
+
+    return run
 
 
-@F.pandas_udf(STRING)
-def hash_name(data: pd.Series) -> pd.Series:
-    return pd.Series([None if d is None else f"{hashes.xxh3_64(bytes(d)):016x}" for d in data], dtype=object)
+def extracted(records: DataFrame, continue_on_error: bool = False) -> DataFrame:
+    """file, record_index, record_id, components, is_truncated, data, hash (of the data, for names), error of the records
+    that hold content or fail to. Without continue_on_error the first failure ends the job."""
+    c = with_content(records).where("content_kind IS NOT NULL OR content_error IS NOT NULL")
+    c = c.select("file", "record_index", field_or_empty("fields", "WARC-Record-ID").alias("record_id"), path_components().alias("components"), "is_truncated", "content_kind", "content_error", "block")
+    return c.mapInPandas(_extract(continue_on_error), _EXTRACTED)
 
 
 def plan_paths(items: DataFrame, existing: list[tuple[str, bool]] = ()) -> DataFrame:
@@ -118,8 +138,7 @@ def write_tree(records: DataFrame, folder: str, continue_on_error: bool = False)
         raise ProtocolError("NotFound", f"the folder {folder} doesn't exist")
     old = [(os.path.relpath(os.path.join(d, x), folder), is_dir) for d, ds, fs in os.walk(folder) for x, is_dir in [*((y, True) for y in ds), *((y, False) for y in fs)]]
     found = extracted(records, continue_on_error)
-    named = found.where("data IS NOT NULL").withColumn("hash", hash_name("data"))
-    planned = plan_paths(named, old)
+    planned = plan_paths(found.where("data IS NOT NULL"), old)
 
     def put(batches):
         for pdf in batches:

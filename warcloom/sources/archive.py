@@ -82,7 +82,8 @@ def scan(split: Split, options: dict):
     block = str(options.get("includeblock", "true")).lower() != "false"
     most = options.get("maxblockbytes")
     permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
-    index = split.first_index
+    index = split.first_index or 0
+    known = split.first_index is not None
     try:
         with open(split.file, "rb") as f:
             dictionary = None
@@ -93,9 +94,9 @@ def scan(split: Split, options: dict):
                 if codec == "zstd":
                     dictionary = embedded_dictionary(f) or dictionary
                 f.seek(split.position)
-            for r in read_records(f, codec, dictionary=dictionary, include_block=block, position=split.position, limit=split.limit, first_index=split.first_index, duplicates=options.get("duplicatefields", "last"), name=split.file, max_block=int(most) if most else None):
+            for r in read_records(f, codec, dictionary=dictionary, include_block=block, position=split.position, limit=split.limit, first_index=index, duplicates=options.get("duplicatefields", "last"), name=split.file, max_block=int(most) if most else None):
                 index = r.index + 1
-                yield split.file, r.position, r.index, r.header.version, r.header.fields, r.content_length, r.block, r.rat_fault, None
+                yield split.file, r.position, r.index if known else None, r.header.version, r.header.fields, r.content_length, r.block, r.rat_fault, None
     except ArchiveError as e:
         if not permissive:
             raise
@@ -136,11 +137,10 @@ class ArchiveReader(DataSourceReader):
         self.file, self.at = self.options.get("file"), self.options.get("position")
 
     def pushFilters(self, filters):  # noqa: N802 - Spark's name
+        """Takes file = ... to read that file alone. A position needs the option: read from there on, a record's index isn't known."""
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("file",):
                 self.file = f.value
-            elif isinstance(f, EqualTo) and f.attribute == ("position",):
-                self.at = f.value
             yield f  # Spark filters again: a lookup narrows what is read, it doesn't decide
 
     def partitions(self):
@@ -152,7 +152,7 @@ class ArchiveReader(DataSourceReader):
         if self.file is not None:
             files = [f for f in files if f == local(self.file)]
         if self.at is not None and len(files) == 1:
-            return [Split(files[0], int(self.at), 0, 1)]
+            return [Split(files[0], int(self.at), None, 1)]
         index = self.options.get("index")
         if index:
             return list(self._indexed(index, set(files)))

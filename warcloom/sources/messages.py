@@ -69,7 +69,7 @@ def to_json_text(messages: DataFrame) -> DataFrame:
     body = F.when(F.col("kind") == "Metadata", F.to_json(F.struct("Metadata")))
     body = body.when(F.col("kind") == "Header", F.to_json(F.struct(F.struct(F.col("Header.version"), _pairs(F.col("Header.fields")).alias("fields")).alias("Header"))))
     for k in ("BlockChunk", "ExtractChunk"):
-        body = body.when(F.col("kind") == k, F.concat(F.lit(f'{{"{k}":{{"data":"'), F.base64(F.col(f"{k}.data")), F.lit('"}}')))
+        body = body.when(F.col("kind") == k, F.concat(F.lit(f'{{"{k}":{{"data":"'), F.translate(F.base64(F.col(f"{k}.data")), "\r\n", ""), F.lit('"}}')))
     for k in ("BlockEnd", "ExtractEnd"):
         body = body.when(F.col("kind") == k, F.to_json(F.struct(k), {"ignoreNullFields": "false"}))
     body = body.when(F.col("kind") == "ExtractMetadata", F.to_json(F.struct("ExtractMetadata")))
