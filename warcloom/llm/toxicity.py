@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, gram_hashes, mix, slices, text_buffers, word_hashes
 
 BUILT_IN = ("idiot", "moron", "scum", "trash", "loser", "clown", "stupid", "pathetic", "worthless", "disgusting", "imbecile", "vermin", "dumbass", "bastard", "asshole", "bitch", "retard", "filth", "subhuman", "degenerate")
 #: Labelled rows that lexicons and classifier are learned from at most: those with the lowest MD5 of their doc_id.
 MAX_LABELLED = 8_000
 #: A learned term is in this share of a language's toxic sample at least, and so many times likelier there.
-MIN_SHARE, MIN_LIFT, MIN_EVIDENCE = 0.1, 4.0, 12.0
+MIN_SHARE, MIN_LIFT, MIN_EVIDENCE = 0.2, 4.0, 14.0
 PREFIXES = (4, 5, 6, 7)
 #: Hits a word that vote toxic, and below which the vote is clean.
 DENSE, SPARSE = 0.011, 0.008
@@ -193,8 +193,30 @@ def _terms(batches):
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.bool_()))] + [pa.array([count[k] for k in keys], pa.int64())], names=["lang", "toxic", "term", "whole", "n"])
 
 
+def _keys(batches):
+    """(lang, toxic, text) with two min-hashes of its word 3-grams: copies and near copies mostly share one."""
+    for b in batches:
+        data, offsets = text_buffers(b.column(2))
+        keys = np.zeros((2, len(b)), np.int64)
+        for i, j in slices(offsets):
+            d, h = gram_hashes(*word_hashes(data, offsets[i : j + 1]), 3)
+            if len(h):
+                at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+                for k in (0, 1):
+                    keys[k, i + d[at]] = np.minimum.reduceat(mix(h + np.uint64(k)), at).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys[0]), pa.array(keys[1])], names=["lang", "toxic", "text", "k0", "k1"])
+
+
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Words and word beginnings from (lang, toxic, text) rows. A word stands for a beginning where it makes up most of it."""
+    """Words and word beginnings from (lang, toxic, text) rows. A word stands for a beginning where it makes up most of it.
+
+    Of rows that are copies or near copies of each other one speaks for all: else whatever words a much copied toxic
+    document holds would look toxic.
+    """
+    sample = sample.select("lang", "toxic", "text").mapInArrow(_keys, "lang string, toxic int, text string, k0 long, k1 long")
+    for k in ("k0", "k1"):
+        one = F.min_by(F.struct("text", "k1"), F.struct("k1", "text")).alias("one")
+        sample = sample.groupBy("lang", "toxic", k).agg(one).select("lang", "toxic", "one.*")
     sizes = {r[0]: (r[1], r[2]) for r in sample.groupBy("lang").agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).collect()}
     counts = sample.select("lang", "toxic", "text").mapInArrow(_terms, "lang string, toxic int, term string, whole boolean, n long")
     counts = counts.groupBy("lang", "term", "whole").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
