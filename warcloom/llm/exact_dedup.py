@@ -11,6 +11,7 @@ The state is kept by Spark's own aggregation (JVM, codegen): a Python state func
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from .common import cut, documents, new_dir, remove
 FILE, ROW = "__content_file", "__content_row"
 #: Bytes of fingerprints that a micro-batch takes at most.
 BATCH_BYTES = 64 << 30
+#: Rows of a file that one fetch covers.
+FETCH_ROWS = 16_384
 
 
 def sha256(text: Column) -> Column:
@@ -67,6 +70,42 @@ def first_seen(spark: SparkSession, fingerprints: str, schema, at: str, batch_by
     return seen.select("digest", F.col("doc_id").alias("first_doc_id"), F.col(FILE).alias("first_file"), F.col(ROW).alias("first_row")).dropDuplicates(["digest"])
 
 
+def _fetch(key, table):
+    """The texts of rows of one file, read from its row groups that hold them, some rows at a time."""
+    import numpy as np
+    import pyarrow.fs
+    import pyarrow.parquet as pq
+
+    file = key[0].as_py()
+    fs, path = pyarrow.fs.FileSystem.from_uri(file.replace("file:/", "file:///", 1) if file.startswith("file:/") and not file.startswith("file://") else file)
+    rows = np.unique(table[ROW].to_numpy())
+    texts, found = [], []
+    with fs.open_input_file(path) as f:
+        pf = pq.ParquetFile(f)
+        at = 0
+        for g in range(pf.num_row_groups):
+            n = pf.metadata.row_group(g).num_rows
+            inside = rows[np.searchsorted(rows, at) : np.searchsorted(rows, at + n)]
+            if len(inside):
+                start = at
+                for batch in pf.iter_batches(batch_size=1024, row_groups=[g], columns=["text"]):
+                    mine = inside[np.searchsorted(inside, start) : np.searchsorted(inside, start + len(batch))]
+                    if len(mine):
+                        texts.append(batch.column(0).cast(pa.string()).take(pa.array(mine - start)))
+                        found.append(mine)
+                    start += len(batch)
+            at += n
+    text = pa.concat_arrays(texts) if texts else pa.array([], pa.string())
+    row = np.concatenate(found) if found else np.zeros(0, np.int64)
+    return pa.table({FILE: pa.array([file] * len(row), pa.string()), ROW: pa.array(row, pa.int64()), "text": text})
+
+
+def fetch(locators: DataFrame) -> DataFrame:
+    """The texts at (file, row): only files and row groups that are named are read, and nothing else is shuffled."""
+    part = F.floor(F.col(ROW) / F.lit(FETCH_ROWS)).alias("part")
+    return locators.select(FILE, ROW, part).groupBy(FILE, "part").applyInArrow(_fetch, f"{FILE} string, {ROW} long, text string")
+
+
 def exact_duplicates(docs: DataFrame, digest=sha256, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The located documents, the fingerprints, and the duplicates (locator, doc_id, first_doc_id) with equal bytes.
 
@@ -82,7 +121,7 @@ def exact_duplicates(docs: DataFrame, digest=sha256, batch_bytes: int = BATCH_BY
     firsts = cut(first_seen(spark, f"{at}-prints", prints.schema, at, batch_bytes), f"{at}/firsts")
     hits = cut(prints.join(firsts, "digest").where((F.col(FILE) != F.col("first_file")) | (F.col(ROW) != F.col("first_row"))), f"{at}/hits")
     wanted = hits.select(FILE, ROW).unionByName(hits.select(F.col("first_file").alias(FILE), F.col("first_row").alias(ROW))).distinct()
-    texts = cut(content.select(FILE, ROW, "text").join(wanted, [FILE, ROW]), f"{at}/texts")
+    texts = cut(fetch(wanted), f"{at}/texts")
     both = hits.join(texts, [FILE, ROW]).join(texts.select(F.col(FILE).alias("first_file"), F.col(ROW).alias("first_row"), F.col("text").alias("first_text")), ["first_file", "first_row"])
     checked = cut(both.select(FILE, ROW, "digest", "doc_id", "first_doc_id", (F.col("text").cast("binary") == F.col("first_text").cast("binary")).alias("same")), f"{at}/checked")
     out = checked.where("same").select(FILE, ROW, "doc_id", "first_doc_id")
@@ -109,7 +148,8 @@ def exact_dedup(docs: DataFrame, digest=sha256, batch_bytes: int = BATCH_BYTES)
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """docs without those whose content came before, columns as they were."""
     found, _, dup = exact_duplicates(docs)
-    return found.join(dup.select(FILE, ROW), [FILE, ROW], "left_anti").select(*[found[c] for c in docs.columns])
+    # one plan at every size: both sides are hashed by locator, the duplicates' locators being the table that is built
+    return found.join(dup.select(FILE, ROW).hint("shuffle_hash"), [FILE, ROW], "left_anti").select(*[found[c] for c in docs.columns])
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
