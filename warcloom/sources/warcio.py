@@ -317,12 +317,16 @@ def read_records(file, codec: str = "identity", *, dictionary: bytes | None = No
             raise fail("InvalidRecordBoundary", snippet=bytes(buf[:16]))
         del buf[:4]
         at += 4
-        fault = False
+        fault, later = False, None
         if plain:
             where = start
         else:
             if not buf:
-                fill()  # an end of member shows only when more is asked for
+                try:
+                    fill()  # an end of member shows only when more is asked for
+                except ArchiveError as e:
+                    later = e  # what follows is damaged; this record isn't
+                    later.file = name
             before = [s for s in src.starts if s[0] <= start]
             # members without content share a decoded offset with the next; the last of them holds the record
             where = next(s[1] for s in before if s[0] == before[-1][0]) if start == before[-1][0] and index == first_index else before[-1][1]
@@ -331,6 +335,8 @@ def read_records(file, codec: str = "identity", *, dictionary: bytes | None = No
             src.starts = [s for s in src.starts if s[0] >= before[-1][0]]
         yield Record(where, index, header, n, block, fault, at - start)
         index += 1
+        if later:
+            raise later
 
 
 # ------------------------------------------------------------------ encoding
