@@ -118,9 +118,14 @@ class LabelModel:
 def fit_label_model(v: np.ndarray, n: np.ndarray, rounds: int = 60, outer: int = 3) -> LabelModel:
     """EM from distinct vote patterns and how many documents have each; no labels are used."""
     k = v.shape[1]
-    q = np.clip(1 / (1 + np.exp(-1.5 * v.sum(1))), 0.01, 0.99)
     model = LabelModel(np.full((2, k, 3), 1 / 3), 0.5, np.ones(k), np.eye(k))
-    for _ in range(outer):
+    # copies of a voter, which EM would mistake for the class: they show without any class
+    copies = _correlations(v, n, np.full(len(v), 0.5))
+    copies = np.where(copies >= 0.98, copies, 0)
+    q = _majority(v, 1 / copies.sum(1))
+    for turn in range(outer):
+        model.correlation = np.maximum(copies, _correlations(v, n, q)) if turn else copies
+        model.weight = 1 / model.correlation.sum(1)
         for _ in range(rounds):
             for c, r in ((0, 1 - q), (1, q)):
                 for x in (-1, 0, 1):
@@ -132,18 +137,26 @@ def fit_label_model(v: np.ndarray, n: np.ndarray, rounds: int = 60, outer: int =
             q = new
             if done:
                 break
-        rho = np.zeros((k, k))
-        for r, share in ((1 - q, 1 - model.prior), (q, model.prior)):
-            w = n * r
-            d = v - (w[:, None] * v).sum(0) / max(w.sum(), 1e-9)
-            cov = (d * w[:, None]).T @ d / max(w.sum(), 1e-9)
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            rho += 0.5 * np.maximum(0, cov / np.outer(sd, sd)) * (np.outer(sd, sd) > 1e-6)
-        np.fill_diagonal(rho, 1)
-        model.correlation, model.weight = rho, 1 / rho.sum(1)
     return model
 
 
+def _majority(v: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return np.clip(1 / (1 + np.exp(-1.5 * v.shape[1] * (v * weight).sum(1) / weight.sum())), 0.01, 0.99)
+
+
+def _correlations(v: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Positive correlations of voters within the classes, the mean of both."""
+    rho = np.zeros((v.shape[1],) * 2)
+    for r in (1 - q, q):
+        w = n * r
+        d = v - (w[:, None] * v).sum(0) / max(w.sum(), 1e-9)
+        cov = (d * w[:, None]).T @ d / max(w.sum(), 1e-9)
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+        rho += 0.5 * np.maximum(0, cov / np.outer(sd, sd)) * (np.outer(sd, sd) > 1e-6)
+    np.fill_diagonal(rho, 1)
+    return rho
+
+
 def linear_features(f: np.ndarray) -> np.ndarray:
     hits = f[:, :4].sum(1)
     density = hits / np.maximum(f[:, 6], 1)
