@@ -157,6 +157,27 @@ def gram_hashes(doc: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray,
     return d[fresh], h[fresh]
 
 
+def pieces(batches, rows: int = 256):
+    """Batches in slices of few rows: Python objects are made for these alone. Memory that is free goes back at the end."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+    trim()
+
+
+def trim() -> None:
+    """Hand free memory back to the system: a worker lives on for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def spread(x: np.ndarray) -> np.ndarray:
     """int64 ids to well-mixed uint64."""
     return mix(x.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))

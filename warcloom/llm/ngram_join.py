@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, gram_hashes, mix, new_dir, one_row_per_id, remove, slices, text_buffers, word_hashes
+from .common import cut, documents, gram_hashes, mix, new_dir, one_row_per_id, remove, slices, text_buffers, trim, word_hashes
 
 N_GRAM = 3
 THRESHOLD = 0.6
-#: Incidences that a block of columns or of rows holds about, so that it fits in a Python worker.
-BLOCK = 1_000_000
+#: Incidences that a block of columns or of rows holds about, so that it fits in a Python worker, and a flush of documents.
+BLOCK, FLUSH = 500_000, 1_000_000
 #: Prefix tokens that a block of them holds about: the fewer blocks, the fewer repeats of a candidate pair.
-TOKENS = 2_000_000
+TOKENS = 1_000_000
 
 _COLS = "block long, flush long, docs binary, counts binary, hashes binary"
 _SHARED = "flush long, block long, docs binary, counts binary, values binary, dfs binary"
@@ -115,11 +115,12 @@ def _incidence(n: int, blocks: int):
                 docs.append((ids[i:j][d[at]], np.diff(np.r_[at, len(d)]), (np.add.reduceat(m, at), np.bitwise_xor.reduceat(m, at))))
                 grams.append(h)
                 held += len(h)
-                if held >= BLOCK:
+                if held >= FLUSH:
                     yield flush(key, docs, grams)
                     docs, grams, held, key = [], [], 0, key + 1
         if held:
             yield flush(key, docs, grams)
+        trim()
 
     return run
 
@@ -147,6 +148,8 @@ def _columns(key, table):
     order = np.lexsort((doc, flush))
     doc, flush, number, df = doc[order], flush[order], number[order], df[order]
     at = np.flatnonzero(np.r_[True, flush[1:] != flush[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    del h, docs, keep, order, count
+    trim()
     cuts = list(zip(at.tolist(), np.r_[at[1:], len(doc)].tolist()))
     return pa.table({
         "flush": pa.array(flush[at], pa.int64()),
@@ -259,6 +262,8 @@ def _candidates(t: float):
             i = j
         if held:
             yield _pairs(*_once(np.concatenate(seen_a), np.concatenate(seen_b)))
+        del h, d, s, seen_a, seen_b, upto, count, whole
+        trim()
 
     return run
 
@@ -303,6 +308,8 @@ def _products(t: float):
             mark[own] = False
         both = sizes[a] + sizes[b]
         keep = overlap * (1 + t) >= t * both - 1e-9
+        del code, grams, blobs, mark
+        trim()
         a, b, overlap, both = a[keep], b[keep], overlap[keep], both[keep]
         return pa.table({"doc_a": pa.array(ids[a], pa.int64()), "doc_b": pa.array(ids[b], pa.int64()), "overlap": pa.array(overlap, pa.int64()), "jaccard": pa.array(overlap / (both - overlap), pa.float64())})
 

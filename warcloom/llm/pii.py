@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, pieces
 
 TYPES = ("email", "phone", "ip", "card", "national_id")
 #: Tokens of an entity at most.
 LONGEST = 24
 
 _TOKEN = re.compile(r"[^\W_]+|[^\s\w]|_")
-_ANCHOR = re.compile(r"\S*[\d@]\S*")
+_ANCHOR = re.compile(r"[\d@]+")
 _FORMS = {
     "email": re.compile(r"[^\W_][\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
     "phone": re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}"),
@@ -49,13 +49,18 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def windows(text: str, reach: int = 24):
-    """Stretches around digits and '@', widened to white space, in order and apart from each other."""
+def windows(text: str, reach: int = 24, most: int = 256):
+    """Stretches around digits and '@', widened to white space (by `most` characters at most), in order and apart from each other."""
     start = end = -1
+    n = len(text)
     for m in _ANCHOR.finditer(text):
-        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        while a > 0 and not text[a - 1].isspace() and m.start() - a < 256:
+        if m.end() + reach <= end:
+            continue
+        a, b = max(0, m.start() - reach), min(n, m.end() + reach)
+        while a > 0 and m.start() - a < most and not text[a - 1].isspace():
             a -= 1
+        while b < n and b - m.end() < most and not text[b].isspace():
+            b += 1
         if a <= end:
             end = max(end, b)
         else:
@@ -215,7 +220,7 @@ def made_sentences(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int
     entity = {
         "email": lambda: f"{name()}{r.choice(['', '.' + name(), '_' + d(2), '.' + d(2), '+' + name()])}@{name()}{r.choice(['', d(1), '-' + name()])}.{r.choice(['', name() + '.'])}{r.choice(['com', 'org', 'de', 'co.uk'])}",
         "phone": lambda: r.choice([lambda: f"+{r.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"+{r.randint(1, 99)} {d(3)} {d(3)} {d(4)}", lambda: f"+{r.randint(1, 99)}-{d(3)}-{d(3)}-{d(4)}"])(),
-        "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)) if r.random() < 0.8 else ":".join("".join(r.choice("0123456789abcdef") for _ in range(4)) for _ in range(8)),
+        "ip": lambda: ".".join(str(r.randint(0, r.choice((9, 20, 255, 255)))) for _ in range(4)) if r.random() < 0.8 else ":".join("".join(r.choice("0123456789abcdef") for _ in range(4)) for _ in range(8)),
         "card": card,
         "national_id": lambda: f"{r.randint(100, 665)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}",
     }
@@ -279,7 +284,7 @@ def find(text: str, weights: np.ndarray, side: float) -> list[tuple[int, int, st
 
 def _batches(weights: np.ndarray, side: float):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             rows = [(d, a, e, t, round(s, 4)) for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if text for a, e, t, s in find(text, weights, side)]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64())

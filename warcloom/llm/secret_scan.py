@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, pieces
 
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40}?)-----([A-Za-z0-9+/=\s\\:,;.-]*?)-----END \1-----")
 _RUN = re.compile(r"[A-Za-z0-9+/_=.-]{24,}")
@@ -193,7 +193,7 @@ _SCHEMA = "doc_id long, start long, end long, kind string"
 
 
 def _batches(batches):
-    for b in batches:
+    for b in pieces(batches):
         rows = [(d, *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for hit in scan(t)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "start", "end", "kind"])

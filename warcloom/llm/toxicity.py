@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, gram_hashes, mix, slices, text_buffers, word_hashes
+from .common import documents, gram_hashes, mix, pieces, slices, text_buffers, word_hashes
 
 BUILT_IN = ("idiot", "moron", "scum", "trash", "loser", "clown", "stupid", "pathetic", "worthless", "disgusting", "imbecile", "vermin", "dumbass", "bastard", "asshole", "bitch", "retard", "filth", "subhuman", "degenerate")
 #: Labelled rows that lexicons and classifier are learned from at most: those with the lowest MD5 of their doc_id.
@@ -258,7 +258,7 @@ def _patterns(lexicon: Lexicon):
         from collections import Counter
 
         count: Counter = Counter()
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column(0).to_pylist()
             if texts:
                 count.update(map(bytes, votes(np.stack([lexicon.features(t or "") for t in texts])).view(np.uint8)))
@@ -296,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
 def _scored(model: Model):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             s = model.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(s >= CUT, pa.bool_())], names=["doc_id", "score", "toxic"])
 
@@ -320,7 +320,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             yield b.filter(pa.array(model.score(b.column(at).to_pylist()) < CUT, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
