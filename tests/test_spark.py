@@ -167,7 +167,7 @@ def test_messages_round_trip(spark, archive, tmp_path, fmt):
 
 
 def test_import_errors():
-    head = b'{"Header":{"version":"WARC/1.1","fields":[]}}\n{"BlockChunk":{"data":"YQ=="}}\n'
+    head = b'{"Header": {"fields": [], "version": "WARC/1.0"}}\n{"BlockChunk":{"data":"YQ=="}}\n'
     run = lambda end: list(ms.records_of(head + end, "jsonl", "f"))
     assert run(b'{"BlockEnd":{"crc32":3904355907,"crc32c":null,"xxh3":null}}')[0][6] == b"a"
     for end, kind in ((b'{"BlockEnd":{"crc32":1}}', "ChecksumMismatch"), (b'{"BlockEnd":{}}', "Sequence"), (b"", "UnexpectedEof"), (b'{"Header":{}}', "Sequence")):

@@ -147,7 +147,7 @@ def is_field_value(text: str | Column, folding: bool = False) -> Column:
 
 def unfold(text: str | Column) -> Column:
     """Folded lines as one, each fold a blank."""
-    return F.regexp_replace(_col(text), r"(?:\r\n|\n)[ \t]+", " ")
+    return F.regexp_replace(_col(text), r"\r?\n[ \t]+", " ")
 
 
 def comma_list(text: str | Column) -> Column:

@@ -21,12 +21,12 @@ from ..functions.urls import ip_is_valid, url_is_valid
 from ..model import STRING, array, struct
 from . import http1
 
-TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
+TYPES = ("continuation", "conversion", "metadata", "request", "resource", "response", "revisit", "warcinfo")
 CHECKS = (
     "mandatory-fields", "known-record-type", "content-type", "concurrent-to", "block-digest", "payload-digest", "ip-address", "refers-to",
     "refers-to-target-uri", "refers-to-date", "target-uri", "truncated", "warcinfo-id", "filename", "profile", "segment", "record-at-time-compression",
 )
-_MANDATORY = ("WARC-Record-ID", "Content-Length", "WARC-Date", "WARC-Type")
+_MANDATORY = ("WARC-Record-ID", "Content-Length", *(f"WARC-{x}" for x in ("Date", "Type")))
 _TRUNCATED = ("length", "time", "disconnect", "unspecified")
 
 
@@ -60,7 +60,7 @@ def header_rules(checks=CHECKS) -> list[Column]:
     banned("concurrent-to", "WARC-Concurrent-To", ("warcinfo", "conversion", "continuation"))
     banned("ip-address", "WARC-IP-Address", ("warcinfo", "conversion", "continuation"))
     add("ip-address", has_field(f, "WARC-IP-Address") & ~F.coalesce(F.col("_ip_ok"), F.lit(True)), "InvalidIpAddress", "WARC-IP-Address")
-    banned("refers-to", "WARC-Refers-To", ("warcinfo", "response", "resource", "request", "continuation"))
+    banned("refers-to", "WARC-Refers-To", ("continuation", "request", "resource", "response", "warcinfo"))
     others = tuple(t for t in TYPES if t != "revisit")
     banned("refers-to-target-uri", "WARC-Refers-To-Target-URI", others)
     add("refers-to-target-uri", has_field(f, "WARC-Refers-To-Target-URI") & ~F.coalesce(F.col("_refers_ok"), F.lit(True)), "InvalidUrl", "WARC-Refers-To-Target-URI")
@@ -68,7 +68,7 @@ def header_rules(checks=CHECKS) -> list[Column]:
     add("refers-to-date", has_field(f, "WARC-Refers-To-Date") & ~is_rfc3339(field_or_empty(f, "WARC-Refers-To-Date")), "InvalidDate", "WARC-Refers-To-Date")
     target = field_or_empty(f, "WARC-Target-URI")
     banned("target-uri", "WARC-Target-URI", ("warcinfo",))
-    needed("target-uri", "WARC-Target-URI", typ.isin("response", "resource", "request", "revisit", "conversion", "continuation"))
+    needed("target-uri", "WARC-Target-URI", typ.isin("continuation", "conversion", "request", "resource", "response", "revisit"))
     add("target-uri", has_field(f, "WARC-Target-URI") & is_bracketed(target), "BadSpecUri", "WARC-Target-URI")
     add("target-uri", has_field(f, "WARC-Target-URI") & ~F.coalesce(F.col("_target_ok"), F.lit(True)), "InvalidUrl", "WARC-Target-URI")
     add("truncated", has_field(f, "WARC-Truncated") & ~field_or_empty(f, "WARC-Truncated").isin(*_TRUNCATED), "InvalidTruncatedReason", field_or_empty(f, "WARC-Truncated"))
@@ -168,7 +168,7 @@ def references(records: DataFrame, checks=CHECKS) -> DataFrame:
     typ = field_or_empty("fields", "WARC-Type")
     kinds = (
         ("concurrent-to", "WARC-Concurrent-To", ~typ.isin("warcinfo", "conversion", "continuation")),
-        ("refers-to", "WARC-Refers-To", ~typ.isin("warcinfo", "response", "resource", "request", "continuation")),
+        ("refers-to", "WARC-Refers-To", ~typ.isin("continuation", "request", "resource", "response", "warcinfo")),
         ("warcinfo-id", "WARC-Warcinfo-ID", typ != "warcinfo"),
     )
     parts = [F.when(cond, F.transform(get_all_fields("fields", name), lambda v, n=check: F.struct(v.alias("target"), F.lit(n).alias("kind")))).otherwise(F.array().cast("array<struct<target: string, kind: string>>")) for check, name, cond in kinds if check in checks]

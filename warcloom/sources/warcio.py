@@ -18,7 +18,7 @@ TCHAR = rb"[0-9A-Za-z!#$%&'*+\-.^_`|~]"
 _DELIMITER = re.compile(rb"(?:[^\r\n]+\r?\n)*\r?\n")
 _VERSION = re.compile(rb"(WARC/[0-9.]*)\r?\n")
 _FIELD = re.compile(rb"(" + TCHAR + rb"+):[ \t]*((?:[!-~\x80-\xff][!-~\x80-\xff \t]*|\r?\n[ \t]+)*)[ \t]*\r?\n")
-_FOLD = re.compile(rb"(?:\r\n|\n)[ \t]+")
+_FOLD = re.compile(rb"\r?\n[ \t]+")
 _NAME = re.compile(TCHAR + rb"+\Z")
 _VALUE = re.compile(rb"(?:[!-~\x80-\xff][!-~\x80-\xff \t]*)?\Z")
 _FOLDED_VALUE = re.compile(rb"(?:[!-~\x80-\xff][!-~\x80-\xff \t]*|\r?\n[ \t]+)*\Z")
@@ -138,7 +138,7 @@ def validate_field_value(value: bytes, folding: bool = False) -> None:
         raise ParseError("Syntax", "field value", snippet=value)
 
 
-# ------------------------------------------------------------------ decoding
+# ---- decoding
 
 
 class Members:
@@ -339,7 +339,7 @@ def read_records(file, codec: str = "identity", *, dictionary: bytes | None = No
             raise later
 
 
-# ------------------------------------------------------------------ encoding
+# ---- encoding
 
 
 class Writer:
