@@ -34,7 +34,7 @@ def odd(spark, extra=True):
     return df
 
 
-# ------------------------------------------------------------------ 1
+# ---- 1
 
 
 def brute_dedup(rows):
@@ -77,7 +77,7 @@ def test_exact_dedup_odd(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
-# ------------------------------------------------------------------ 2
+# ---- 2
 
 
 def check_bins(sizes, capacity, bins):
@@ -159,7 +159,7 @@ def test_packing_documents(spark):
     assert sum(r.tokens for r in packing.pack_documents(odd(spark)).collect()) == 3 + 3 + 4 * 13 + 400_000
 
 
-# ------------------------------------------------------------------ 3
+# ---- 3
 
 
 def test_language_id(spark):
@@ -184,7 +184,7 @@ def test_language_id(spark):
     assert [r.language for r in langid.identify(frame(spark, [(1, "some text")]), none).collect()] == ["und"]
 
 
-# ------------------------------------------------------------------ 4
+# ---- 4
 
 
 def brute_mix(rows, knots):
@@ -258,7 +258,7 @@ def test_mixing_odd(spark):
     assert mixing.curriculum(frame(spark, [], "doc_id long, text string, source string")).count() == 0
 
 
-# ------------------------------------------------------------------ 5
+# ---- 5
 
 
 def toxic_rows(rng, n, base=0):
@@ -309,7 +309,7 @@ def test_toxicity_odd(spark):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
-# ------------------------------------------------------------------ 6
+# ---- 6
 
 
 def brute_pairs(rows, t, n):
@@ -374,7 +374,7 @@ def test_groups(spark):
     assert got == {1: 1, 9: 1, 8: 1, 7: 1, 6: 1, 5: 1, 2: 2, 3: 2, 20: 20, 30: 20}
 
 
-# ------------------------------------------------------------------ 7
+# ---- 7
 
 
 def test_embeddings(spark):
@@ -397,7 +397,7 @@ def test_embeddings_odd(spark):
     assert embedding_dedup.near_embeddings(df.where("false")).count() == 0
 
 
-# ------------------------------------------------------------------ 8
+# ---- 8
 
 
 def brute_best(lat, w, side):
@@ -449,7 +449,7 @@ def test_pii_held_out(spark):
     assert pii.personal_data(frame(spark, [])).count() == 0
 
 
-# ------------------------------------------------------------------ 9
+# ---- 9
 
 
 def tlv(tag, body):
@@ -490,7 +490,7 @@ def test_secrets(spark):
     assert secret_scan.secret_spans(frame(spark, [])).count() == 0
 
 
-# ------------------------------------------------------------------ 10
+# ---- 10
 
 
 @pytest.mark.parametrize("block", [2, 6, 64, 1 << 20])
@@ -529,7 +529,7 @@ def test_document_tokens(spark):
     assert token_scan.document_token_counts(frame(spark, [])).count() == 0
 
 
-# ------------------------------------------------------------------ pipeline
+# ---- pipeline
 
 
 def test_pipeline(spark, tmp_path):

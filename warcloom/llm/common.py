@@ -64,7 +64,7 @@ def one_row_per_id(df: DataFrame, id_col: str, value: str) -> DataFrame:
     return df.groupBy(id_col).agg(F.max(value).alias(value))
 
 
-# ------------------------------------------------------------------ kernels
+# ---- kernels
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
