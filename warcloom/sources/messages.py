@@ -14,6 +14,7 @@ from ..functions import hashes
 from ..functions.digests import checksums
 from ..model import BINARY, MESSAGE_KINDS, MESSAGES
 from ..operators.extract import extract_content, path_components, with_content
+from .archive import local
 from .sequences import message_of, message_value, read_items, write_item
 
 #: Bytes in a message of block data.
@@ -105,12 +106,13 @@ def write_messages(messages: DataFrame, path: str, fmt: str = "json-seq", single
     if fmt == "cbor-seq":
         rows = to_cbor(parts).select("data")
         rows = rows.coalesce(1) if single else rows
+        folder = local(path)
 
         def put(batches):
             from pyspark import TaskContext
 
-            name = os.path.join(path, f"part-{TaskContext.get().partitionId():05d}.cbor")
-            os.makedirs(path, exist_ok=True)
+            name = os.path.join(folder, f"part-{TaskContext.get().partitionId():05d}.cbor")
+            os.makedirs(folder, exist_ok=True)
             with open(f"{name}.tmp", "wb") as f:
                 for pdf in batches:
                     for d in pdf["data"]:
