@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warcloom.llm.common import documents, new_dir
-from warcloom.llm.exact_dedup import drop_exact_duplicates
+from warcloom.llm.exact_dedup import FILE, ROW, drop_exact_duplicates, keyed
 from warcloom.llm.mixing import mix_in_order
 from warcloom.llm.ngram_join import groups, ngram_jaccard_join
 from warcloom.llm.packing import pack_documents
@@ -28,10 +28,18 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of each connected group of near duplicates the lowest doc_id stays."""
-    member = groups(ngram_jaccard_join(docs))
-    gone = member.where(F.col("doc_id") != F.col("group")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Operator 6: of each connected group of near duplicates one row stays.
+
+    Every row is compared by itself, also without doc_id or where a doc_id repeats, and only the rows found go. The row
+    with the lowest doc_id stays (null last), of equal ones that of the lowest file and row.
+    """
+    found = keyed(docs, "__key")
+    member = groups(ngram_jaccard_join(found.select(F.col("__key").alias("doc_id"), "text"))).withColumnRenamed("doc_id", "__key")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", FILE, ROW)
+    ranked = found.select("__key", rank.alias("rank")).join(member, "__key")
+    stays = ranked.groupBy("group").agg(F.min_by("__key", "rank").alias("__key"))
+    gone = member.join(stays, "__key", "left_anti").select("__key")
+    return found.join(gone, "__key", "left_anti").select(*[found[c] for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

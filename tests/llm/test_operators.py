@@ -579,3 +579,20 @@ def test_pipeline(spark, tmp_path):
             assert current.agg(F.sum("tokens")).first()[0] == want
     again = corpus_pipeline.run(spark, path)
     assert sorted(r.doc_id for r in again.collect()) == sorted(r.doc_id for r in current.collect())
+
+
+def test_near_dedup_by_row(spark):
+    """Rows that share a doc_id, or have none, are compared each by itself, and only the row found goes."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    near = lambda t: " ".join(["other", *t.split()[1:]])
+    a, b, c, lone = (text(rng, 60) for _ in range(4))
+    rows = [(1, "z " + a), (1, lone), (2, b), (5, "z " + near(a)), (5, "a clean text"), (6, "z clean text"), (6, "a " + near(b)), (None, near(b)), (None, c), (None, near(c)), (8, None), (9, "")]
+    docs = frame(spark, rows).withColumn("source", F.lit("s"))
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    left = [r for r in rows if r not in ((5, "z " + near(a)), (6, "a " + near(b)), (None, near(b)), (None, c), (None, near(c)))]
+    one_of = [r for r in got if r in ((None, c), (None, near(c)))]
+    assert len(one_of) == 1 and sorted(map(str, got)) == sorted(map(str, left + one_of))

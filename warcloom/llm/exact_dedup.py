@@ -44,6 +44,19 @@ def located(docs: DataFrame) -> DataFrame:
         return add(cut(docs, new_dir(docs.sparkSession, "contents")))
 
 
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """located docs with a number of their own for each row: a hash of the file, told apart from all others, and the row in it."""
+    found = located(docs)
+    files = found.select(FILE).distinct()
+    seed = 0
+    while True:
+        number = F.shiftright(F.xxhash64(FILE, F.lit(seed)), 32)
+        n, apart = files.agg(F.count("*"), F.countDistinct(number)).first()
+        if n == apart:
+            return found.withColumn(name, F.shiftleft(number, 32) + F.col(ROW))
+        seed += 1
+
+
 def first_seen(spark: SparkSession, fingerprints: str, schema, at: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Digests seen more than once, with the first document of each. Runs the stream over what the folder holds now.
 
