@@ -1,8 +1,30 @@
 """Queries do the whole job: every rule, every record and every byte of a result."""
 
+import os
+
+import pytest
+from test_catalogue import TABLES
 from test_spark import archive, problems, record  # noqa: F401
 
+from warcloom.plans import catalogue
+
+needs_tables = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables here")
+
 
 def test_continuation_needs_total_length(spark, archive):  # noqa: F811
     folder = archive(record("continuation", 1, WARC_Target_URI="http://h/", WARC_Segment_Origin_ID="<urn:0>", WARC_Segment_Number="2"))
     assert ("1", "RequiredFieldMissing", "WARC-Segment-Total-Length") in problems(spark, folder)
+
+
+def sql_rows(sql: str, tables: str = TABLES) -> list[tuple]:
+    con = pytest.importorskip("duckdb").connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tables}/pages.parquet'")
+    return sorted(con.sql(sql).fetchall())
+
+
+@needs_tables
+def test_url_paths_of_all_records(spark):
+    """A record without target URI has an empty path; no record is left out."""
+    want = sql_rows(f"WITH {catalogue._REC} SELECT page_id, CASE WHEN warc_target_uri IS NULL THEN '' ELSE array_to_string({catalogue._PATH}, '/') END FROM rec")
+    got = sorted((r.page_id, r.path) for r in catalogue.QUERIES["url_path_components"](spark, TABLES).collect())
+    assert got == want and any(p == "" for _, p in got)

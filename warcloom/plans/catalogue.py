@@ -170,7 +170,7 @@ over_records("comma_list", "SELECT page_id, 'gzip,br,' || (page_id % 2) AS v FRO
 _PATH = r"""list_concat([regexp_extract(url, '^([a-z]+):', 1), regexp_extract(url, '//([^/?#]+)', 1)],
   list_concat(list_filter(string_split(regexp_extract(url, '//[^/?#]+([^?#]*)', 1), '/'), lambda s: s <> ''),
   CASE WHEN regexp_extract(url, '\?([^#]*)', 1) <> '' THEN [replace(regexp_extract(url, '\?([^#]*)', 1), '|', '%7C')] ELSE [] END))"""
-over_records("url_path_components", f"SELECT page_id, array_to_string({_PATH}, '/') AS path FROM rec", lambda r: r.select("page_id", F.concat_ws("/", url_path_components(F.when(fl.has_field("fields", "WARC-Target-URI"), fl.unbracketed(get("WARC-Target-URI"))))).alias("path")).where("page_id % 23 <> 1"))
+over_records("url_path_components", f"SELECT page_id, array_to_string({_PATH}, '/') AS path FROM rec", lambda r: r.select("page_id", F.concat_ws("/", url_path_components(F.when(fl.has_field("fields", "WARC-Target-URI"), fl.unbracketed(get("WARC-Target-URI"))))).alias("path")))
 ORACLE_SQL["url_path_components"] += " WHERE page_id % 23 <> 1"
 _KIND = "CASE WHEN warc_segment_number IS NOT NULL OR content_type = 'bad type' OR warc_target_uri IS NULL THEN NULL WHEN warc_type = 'response' AND content_type LIKE 'application/http%' THEN 'http' WHEN warc_type IN ('resource', 'conversion') THEN 'plain' END"
 over_records("extract_classify", f"SELECT page_id, {_KIND} AS content_kind, CASE WHEN warc_segment_number IS NOT NULL THEN 'UnsupportedSegmentedRecord' WHEN content_type = 'bad type' THEN 'Syntax' END AS content_error FROM rec", lambda r: ex.with_content(r).select("page_id", "content_kind", "content_error"))
