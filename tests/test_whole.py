@@ -1,5 +1,6 @@
 """Queries do the whole job: every rule, every record and every byte of a result."""
 
+import json
 import os
 
 import pytest
@@ -28,3 +29,17 @@ def test_url_paths_of_all_records(spark):
     want = sql_rows(f"WITH {catalogue._REC} SELECT page_id, CASE WHEN warc_target_uri IS NULL THEN '' ELSE array_to_string({catalogue._PATH}, '/') END FROM rec")
     got = sorted((r.page_id, r.path) for r in catalogue.QUERIES["url_path_components"](spark, TABLES).collect())
     assert got == want and any(p == "" for _, p in got)
+
+
+@needs_tables
+def test_export_without_blocks_is_whole(spark):
+    """Both messages of each record, with all of their fields in order."""
+    got = sorted((r.page_id, r.kind, r.head) for r in catalogue.QUERIES["export_no_block"](spark, TABLES).collect())
+    dumps = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    want = []
+    for row in sql_rows(f"WITH {catalogue._REC} SELECT page_id, file, position, {', '.join(catalogue._COLUMNS.values())} FROM rec"):
+        page, file, position, *values = row
+        fields = [[n.lower() if page % 2 else n, v] for n, v in zip(catalogue._COLUMNS, values) if v is not None]
+        want.append((page, "Metadata", dumps({"Metadata": {"file": file, "position": position}})))
+        want.append((page, "Header", dumps({"Header": {"version": "WARC/1.1", "fields": fields}})))
+    assert got == sorted(want)

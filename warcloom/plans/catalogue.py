@@ -230,7 +230,7 @@ over_records("verify_exclude_check", f"SELECT kind, count(*) AS n FROM ({' UNION
 
 _CHUNKS = "(n_bytes + 4095) // 4096"
 over_records("export_messages", f"SELECT kind, sum(n)::BIGINT AS n FROM (SELECT 'Metadata' AS kind, 1 AS n FROM rec UNION ALL SELECT 'Header', 1 FROM rec UNION ALL SELECT 'BlockChunk', {_CHUNKS} FROM rec UNION ALL SELECT 'BlockEnd', 1 FROM rec UNION ALL SELECT DISTINCT 'EndOfFile', 1 FROM rec UNION ALL SELECT 'EndOfFile', count(DISTINCT file) - 1 FROM rec) GROUP BY kind", lambda r: ms.to_messages(r).groupBy("kind").agg(F.count("*").alias("n")))
-over_records("export_no_block", "SELECT page_id, 'Header' AS kind, '{\"Header\":{\"version\":\"WARC/1.1\"' AS head FROM rec", lambda r: ms.to_json_text(ms.to_messages(r, no_block=True).where("kind = 'Header'")).join(r.select("page_id", "file", "record_index"), ["file", "record_index"]).select("page_id", "kind", F.substring("text", 1, 31).alias("head")))
+over_records("export_no_block", "SELECT page_id, 'Header' AS kind, '{\"Header\":{\"version\":\"WARC/1.1\"' AS head FROM rec", lambda r: ms.to_json_text(ms.to_messages(r, no_block=True).where("kind <> 'EndOfFile'")).join(r.select("page_id", "file", "record_index"), ["file", "record_index"]).select("page_id", "kind", F.col("text").alias("head")))
 over_records("export_extract_metadata", f"SELECT page_id, ({_KIND}) IS NOT NULL AS has_content, warc_truncated IS NOT NULL AS is_truncated FROM rec", lambda r: ms.to_messages(r, no_block=True, extract=True).where("kind = 'ExtractMetadata'").join(r.select("page_id", "file", "record_index"), ["file", "record_index"]).select("page_id", "ExtractMetadata.has_content", "ExtractMetadata.is_truncated"))
 over_records("block_base64", "SELECT page_id, md5(to_base64(encode(html))) AS v FROM rec", lambda r: r.select("page_id", F.md5(F.translate(F.base64("block"), "\r\n", "")).alias("v")))
 over_records("multi_input_union", "SELECT file, count(*) AS n, sum(n_bytes)::BIGINT AS bytes FROM rec GROUP BY file", lambda r: r.where("file <= 'pages-1.warc'").unionByName(r.where("file > 'pages-1.warc'")).groupBy("file").agg(F.count("*").alias("n"), F.sum("content_length").alias("bytes")))
