@@ -7,7 +7,9 @@ import pytest
 from test_catalogue import TABLES
 from test_spark import archive, problems, record  # noqa: F401
 
+from warcloom.operators import verify as ve
 from warcloom.plans import catalogue
+from warcloom.sources.archive import read_archive
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables here")
 
@@ -43,3 +45,13 @@ def test_export_without_blocks_is_whole(spark):
         want.append((page, "Metadata", dumps({"Metadata": {"file": file, "position": position}})))
         want.append((page, "Header", dumps({"Header": {"version": "WARC/1.1", "fields": fields}})))
     assert got == sorted(want)
+
+
+@needs_tables
+def test_stream_reports_all_problems(spark):
+    """Arriving files give the problems of all rules, and those of the state over all of them, as one batch would."""
+    got = catalogue.QUERIES["warc_stream_arrivals"](spark, TABLES)
+    want = ve.verify(read_archive(spark, catalogue._written(spark, TABLES, "gzip"))).select("record_id", "kind", "arg")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(got) == rows(want)
+    assert {"DigestMismatch", "ReferencedRecordMissing", "InvalidTruncatedReason"} <= {r.kind for r in got.collect()}

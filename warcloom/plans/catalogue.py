@@ -299,11 +299,12 @@ def _http(spark: SparkSession, d: str) -> DataFrame:
 
 @query("warc_stream_arrivals", f"WITH {_REC} SELECT coalesce(warc_record_id, '') AS record_id, kind, arg FROM ({_RULES['verify_truncated'][1]}) r")
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    from ..streaming.arrivals import stream_records, verify_stream
+    from ..streaming.arrivals import open_problems, stream_records, verify_stream
 
     at = new_folder(spark, "arrivals")
     verify_stream(stream_records(spark, _written(spark, d, "gzip")), f"{at}/state", f"{at}/problems", f"{at}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{at}/problems").where("kind = 'InvalidTruncatedReason'").select("record_id", "kind", "arg")
+    own = spark.read.parquet(f"{at}/problems").drop("batch")
+    return own.unionByName(open_problems(spark, f"{at}/state")).select("record_id", "kind", "arg")
 
 
 ORACLE_SQL["warc_stream_arrivals"] = f"WITH {_REC} {_RULES['verify_truncated'][1]}"
