@@ -596,3 +596,17 @@ def test_near_dedup_by_row(spark):
     left = [r for r in rows if r not in ((5, "z " + near(a)), (6, "a " + near(b)), (None, near(b)), (None, c), (None, near(c)))]
     one_of = [r for r in got if r in ((None, c), (None, near(c)))]
     assert len(one_of) == 1 and sorted(map(str, got)) == sorted(map(str, left + one_of))
+
+
+def test_packing_search_goes_on():
+    """Ten slots that give no gain lie before the one that does, and no step is left when the search ends."""
+    sizes = [30, 20, *[31, 64] * 10, 28, 60]
+    bins = [[2 * k, 2 * k + 1] for k in range(12)]
+    s = packing.Search(sizes, bins, 100)
+    assert s._swap(0, [0], 30) and sorted(s.bins[11]) == [0, 23]
+    rng = random.Random(13)
+    for _ in range(20):
+        sizes = [rng.randint(1, 40) for _ in range(60)]
+        s = packing.Search(sizes, packing.best_fit(sizes, 64), 64)
+        s.run()
+        assert not any(s._step(a) for a in list(s.bins))

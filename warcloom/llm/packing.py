@@ -23,10 +23,6 @@ from .common import documents, n_tokens
 CAPACITY = 32_768
 #: Pieces that a shard holds about.
 SHARD = 8_192
-#: Rounds of the search over all bins that aren't full.
-ROUNDS = 4
-#: Candidates looked at for each document and kind of step, tightest fit first.
-TRIES = 8
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -99,7 +95,10 @@ class Search:
         for k in own:  # move
             s = self.size[k]
             at = bisect_left(self.gaps, (s, -1))
-            for gap, b in self.gaps[at : at + TRIES]:
+            for i in range(at, len(self.gaps)):
+                gap, b = self.gaps[i]
+                if gap >= s + self.cap - self.fill[a]:  # from here on the fuller bin would be a itself
+                    break
                 if self._gains(a, b, s):
                     self._exchange(a, [k], b, [])
                     return True
@@ -115,35 +114,40 @@ class Search:
 
     def _swap(self, a: int, give: list[int], s: int) -> bool:
         at = bisect_left(self.slots, (s, -1, -1, -1))
-        for _room, size, k, b in self.slots[at : at + TRIES]:
+        # an item shorter than s leaves room below s and its bin's gap; from s and a's own gap on no exchange raises the sum
+        other = next((gap for gap, b in reversed(self.gaps) if b != a), 0)
+        most = s + min(self.cap - self.fill[a], other)
+        for i in range(at, len(self.slots)):
+            room, size, k, b = self.slots[i]
+            if room >= most:
+                break
             if self._gains(a, b, s - size):
                 self._exchange(a, give, b, [k])
                 return True
         return False
 
-    def run(self, rounds: int = ROUNDS) -> list[list[int]]:
-        for _ in range(rounds):
+    def run(self) -> list[list[int]]:
+        moved = True
+        while moved:  # each step raises the sum of squares, so a round without one comes
             moved = False
             for _gap, a in sorted(self.gaps, reverse=True):
                 # each step takes tokens out of bin a, so this ends
                 while a in self.bins and self._step(a):
                     moved = True
-            if not moved:
-                break
         return [x for _, x in sorted(self.bins.items()) if x]
 
 
-def pack(sizes: list[int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[list[int]]:
+def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Bins of item numbers for items of 1..capacity tokens."""
-    return Search(sizes, best_fit(sizes, capacity), capacity).run(rounds) if sizes else []
+    return Search(sizes, best_fit(sizes, capacity), capacity).run() if sizes else []
 
 
-def _shard(capacity: int, rounds: int):
+def _shard(capacity: int):
     def run(key, table):
         shard = key[0].as_py()
         rows = sorted(zip(table["doc_id"].to_pylist(), table["piece"].to_pylist(), table["tokens"].to_pylist(), table["start"].to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
         out = {c: [] for c in ("doc_id", "piece", "bin_id", "bin_offset", "start", "tokens")}
-        for b, items in enumerate(pack([r[2] for r in rows], capacity, rounds)):
+        for b, items in enumerate(pack([r[2] for r in rows], capacity)):
             offset = 0
             for k in sorted(items):
                 doc, piece, tokens, start = rows[k]
@@ -155,7 +159,7 @@ def _shard(capacity: int, rounds: int):
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, rounds: int = ROUNDS) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """A row for each piece of a document: doc_id, piece, bin_id, bin_offset, start (in the document), tokens.
 
     A document without tokens (null or empty text) has no piece. Rows with the same doc_id, or none, are packed each on
@@ -170,7 +174,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD
     rest = items.withColumn("tokens", (F.col("total") % F.lit(capacity)).cast("long")).where("tokens > 0").select("doc_id", whole.alias("piece"), (F.col("total") - F.col("tokens")).alias("start"), "tokens", "h")
     shards = max(1, math.ceil(docs.select(F.lit(1)).count() / shard))
     rest = rest.withColumn("shard", F.pmod("h", F.lit(shards))).drop("h")
-    packed = rest.groupBy("shard").applyInArrow(_shard(capacity, rounds), "doc_id long, piece long, bin_id string, bin_offset long, start long, tokens long")
+    packed = rest.groupBy("shard").applyInArrow(_shard(capacity), "doc_id long, piece long, bin_id string, bin_offset long, start long, tokens long")
     return packed.unionByName(full)
 
 
