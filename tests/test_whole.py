@@ -19,6 +19,25 @@ def test_continuation_needs_total_length(spark, archive):  # noqa: F811
     assert ("1", "RequiredFieldMissing", "WARC-Segment-Total-Length") in problems(spark, folder)
 
 
+def test_segment_number_zero_is_none(spark, archive):  # noqa: F811
+    """Segments are numbered from 1: a record with number 0 leaves no gap after it and adds nothing to the length."""
+    part = {"WARC_Target_URI": "http://h/", "WARC_Segment_Origin_ID": "<urn:1>", "WARC_Segment_Total_Length": "3"}
+    rows = [record("continuation", 5, b"zzzz", WARC_Segment_Number="0", **part), record("resource", 1, b"a", WARC_Target_URI="http://h/", WARC_Segment_Number="1"), record("continuation", 2, b"bc", WARC_Segment_Number="2", **part)]
+    assert not {k for _, k, _ in problems(spark, archive(*rows))} & {"MissingSegment", "MismatchedSegmentLength"}
+
+
+def test_payload_of_a_segmented_record(spark, archive):  # noqa: F811
+    folder = archive(record("response", 1, WARC_Target_URI="http://h/", WARC_Segment_Number="1", WARC_Payload_Digest="md5:" + "0" * 32))
+    assert ("1", "ParsePayload", "UnsupportedSegmentedRecord") in problems(spark, folder)
+
+
+@needs_tables
+def test_verify_scans_once(spark):
+    """The records are read by the survey alone; every problem comes from the table that it wrote."""
+    plan = ve.verify(read_archive(spark, catalogue._written(spark, TABLES, "gzip")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "warc" not in plan.lower().split("relation")[0] and "PythonMapInArrow" not in plan and plan.count("RelationV2") == 0
+
+
 def sql_rows(sql: str, tables: str = TABLES) -> list[tuple]:
     con = pytest.importorskip("duckdb").connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tables}/pages.parquet'")

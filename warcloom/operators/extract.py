@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ArchiveError, ProtocolError
 from ..functions import hashes
-from ..functions.fields import field_or_empty, get_field, has_field, media_type, unbracketed
+from ..functions.fields import field_or_empty, get_field, has_field, is_media_type, unbracketed
 from ..functions.urls import MARK, url_path_components
 from ..model import BINARY, STRING, struct
 from . import http1
@@ -24,12 +24,15 @@ def with_content(records: DataFrame) -> DataFrame:
     """
     typ, url = field_or_empty("fields", "WARC-Type"), unbracketed(field_or_empty("fields", "WARC-Target-URI"))
     content = get_field("fields", "Content-Type")
-    media = media_type(content)
+    # read from the text rather than from media_type's map: its nested lambdas keep Spark from handing the result to Python
+    wellformed = is_media_type(content)
+    essence = F.regexp_extract(content, r"^[^; \t]*", 0)
+    msgtype = F.regexp_extract(content, r"^.*;[ \t]*msgtype=([^; \t]*)", 1)
     segmented = has_field("fields", "WARC-Segment-Number")
     response = typ == "response"
-    http = response & (media["type"] == "application") & (media["subtype"] == "http") & (F.coalesce(F.try_element_at(media["parameters"], F.lit("msgtype")), F.lit("")) == "response") & (url != "")
+    http = response & wellformed & (essence == "application/http") & (msgtype == "response") & (url != "")
     kind = F.when(segmented, F.lit(None).cast("string")).when(http, "http").when(typ.isin("resource", "conversion") & (url != ""), "plain")
-    error = F.when(segmented, "UnsupportedSegmentedRecord").when(content.isNotNull() & media.isNull(), "Syntax")
+    error = F.when(segmented, "UnsupportedSegmentedRecord").when(content.isNotNull() & ~wellformed, "Syntax")
     kind = F.when(error.isNull(), kind)
     return records.withColumns({"content_kind": kind, "content_error": error, "is_truncated": has_field("fields", "WARC-Truncated"), "target_uri": url})
 

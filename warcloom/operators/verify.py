@@ -1,7 +1,8 @@
 """Verification: rules over headers and blocks, dangling references, and segments, as sets.
 
-The rules of one record are one array of candidate problems, filtered and exploded: a narrow stage of native expressions.
-References, segments and the order of files need shuffles of short rows only; blocks are read by the digest rules alone.
+One pass over the records makes a survey: for each the problems of its own (an array of candidates, filtered), its
+references and its place among segments. That table is cut into the shared folder; references, segments and the order of
+files then need shuffles of its short rows only. Blocks are read by the digest rules alone.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from ..errors import ArchiveError
 from ..functions import digests, hashes
 from ..functions.fields import field_or_empty, get_all_fields, get_field, has_field, is_bracketed, is_media_type, is_rfc3339, media_type, u64_strict, unbracketed
 from ..functions.urls import ip_is_valid, url_is_valid
-from ..model import STRING, array, struct
+from ..model import BOOLEAN, INT, STRING, array, struct
+from ..scratch import cut
 from . import http1
 
 TYPES = ("continuation", "conversion", "metadata", "request", "resource", "response", "revisit", "warcinfo")
@@ -35,10 +37,32 @@ def _problem(ord_: int, kind: str, arg: Column | None = None) -> Column:
     return F.struct(F.lit(kind).alias("kind"), a.alias("arg"), F.lit(ord_).alias("ord"))
 
 
+_HEADERS = (
+    *_MANDATORY, "Content-Type", "WARC-Concurrent-To", "WARC-IP-Address", "WARC-Refers-To", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date", "WARC-Target-URI",
+    "WARC-Truncated", "WARC-Filename", "WARC-Profile", "WARC-Segment-Origin-ID", "WARC-Segment-Total-Length", "WARC-Segment-Number",
+)
+
+
+def _header(name: str) -> Column:
+    return F.col("_h_" + name.lower().replace("-", "_"))
+
+
+def _has(name: str) -> Column:
+    return _header(name).isNotNull()
+
+
+def _value(name: str) -> Column:
+    return F.coalesce(_header(name), F.lit(""))
+
+
+def _with_headers(records: DataFrame) -> DataFrame:
+    """Adds a column for each field that a rule looks at: looked up once, the rules are short expressions over them."""
+    return records.withColumns({"_h_" + n.lower().replace("-", "_"): get_field("fields", n) for n in _HEADERS})
+
+
 def header_rules(checks=CHECKS) -> list[Column]:
-    """Candidate problems (null where a rule holds), in the order in which they are reported."""
-    f = "fields"
-    typ, out, k = field_or_empty(f, "WARC-Type"), [], 0
+    """Candidate problems (null where a rule holds), in the order in which they are reported, over the columns of _with_headers."""
+    typ, out, k = _value("WARC-Type"), [], 0
 
     def add(check: str, cond: Column, kind: str, arg: Column | str | None = None) -> None:
         nonlocal k
@@ -47,60 +71,73 @@ def header_rules(checks=CHECKS) -> list[Column]:
             out.append(F.when(cond, _problem(k, kind, F.lit(arg) if isinstance(arg, str) else arg)))
 
     def banned(check: str, name: str, types) -> None:
-        add(check, has_field(f, name) & typ.isin(*types), "ProhibitedField", name)
+        add(check, _has(name) & typ.isin(*types), "ProhibitedField", name)
 
     def needed(check: str, name: str, cond: Column | None = None) -> None:
-        add(check, ~has_field(f, name) & (F.lit(True) if cond is None else cond), "RequiredFieldMissing", name)
+        add(check, ~_has(name) & (F.lit(True) if cond is None else cond), "RequiredFieldMissing", name)
 
     for name in _MANDATORY:
         needed("mandatory-fields", name)
     add("known-record-type", ~typ.isin(*TYPES), "UnknownRecordType", typ)
-    add("mandatory-fields", has_field(f, "WARC-Date") & ~is_rfc3339(field_or_empty(f, "WARC-Date")), "InvalidDate", "WARC-Date")
-    add("content-type", has_field(f, "Content-Type") & ~is_media_type(field_or_empty(f, "Content-Type")), "InvalidMediaType", "Content-Type")
+    add("mandatory-fields", _has("WARC-Date") & ~is_rfc3339(_value("WARC-Date")), "InvalidDate", "WARC-Date")
+    add("content-type", _has("Content-Type") & ~is_media_type(_value("Content-Type")), "InvalidMediaType", "Content-Type")
     banned("concurrent-to", "WARC-Concurrent-To", ("warcinfo", "conversion", "continuation"))
     banned("ip-address", "WARC-IP-Address", ("warcinfo", "conversion", "continuation"))
-    add("ip-address", has_field(f, "WARC-IP-Address") & ~F.coalesce(F.col("_ip_ok"), F.lit(True)), "InvalidIpAddress", "WARC-IP-Address")
+    add("ip-address", _has("WARC-IP-Address") & ~F.coalesce(F.col("_ip_ok"), F.lit(True)), "InvalidIpAddress", "WARC-IP-Address")
     banned("refers-to", "WARC-Refers-To", ("continuation", "request", "resource", "response", "warcinfo"))
     others = tuple(t for t in TYPES if t != "revisit")
     banned("refers-to-target-uri", "WARC-Refers-To-Target-URI", others)
-    add("refers-to-target-uri", has_field(f, "WARC-Refers-To-Target-URI") & ~F.coalesce(F.col("_refers_ok"), F.lit(True)), "InvalidUrl", "WARC-Refers-To-Target-URI")
+    add("refers-to-target-uri", _has("WARC-Refers-To-Target-URI") & ~F.coalesce(F.col("_refers_ok"), F.lit(True)), "InvalidUrl", "WARC-Refers-To-Target-URI")
     banned("refers-to-date", "WARC-Refers-To-Date", others)
-    add("refers-to-date", has_field(f, "WARC-Refers-To-Date") & ~is_rfc3339(field_or_empty(f, "WARC-Refers-To-Date")), "InvalidDate", "WARC-Refers-To-Date")
-    target = field_or_empty(f, "WARC-Target-URI")
+    add("refers-to-date", _has("WARC-Refers-To-Date") & ~is_rfc3339(_value("WARC-Refers-To-Date")), "InvalidDate", "WARC-Refers-To-Date")
+    target = _value("WARC-Target-URI")
     banned("target-uri", "WARC-Target-URI", ("warcinfo",))
     needed("target-uri", "WARC-Target-URI", typ.isin("continuation", "conversion", "request", "resource", "response", "revisit"))
-    add("target-uri", has_field(f, "WARC-Target-URI") & is_bracketed(target), "BadSpecUri", "WARC-Target-URI")
-    add("target-uri", has_field(f, "WARC-Target-URI") & ~F.coalesce(F.col("_target_ok"), F.lit(True)), "InvalidUrl", "WARC-Target-URI")
-    add("truncated", has_field(f, "WARC-Truncated") & ~field_or_empty(f, "WARC-Truncated").isin(*_TRUNCATED), "InvalidTruncatedReason", field_or_empty(f, "WARC-Truncated"))
+    add("target-uri", _has("WARC-Target-URI") & is_bracketed(target), "BadSpecUri", "WARC-Target-URI")
+    add("target-uri", _has("WARC-Target-URI") & ~F.coalesce(F.col("_target_ok"), F.lit(True)), "InvalidUrl", "WARC-Target-URI")
+    add("truncated", _has("WARC-Truncated") & ~_value("WARC-Truncated").isin(*_TRUNCATED), "InvalidTruncatedReason", _value("WARC-Truncated"))
     banned("warcinfo-id", "WARC-Target-URI", ("warcinfo",))
-    add("filename", has_field(f, "WARC-Filename") & (typ != "warcinfo"), "ProhibitedField", "WARC-Filename")
+    add("filename", _has("WARC-Filename") & (typ != "warcinfo"), "ProhibitedField", "WARC-Filename")
     needed("profile", "WARC-Profile", typ == "profile")
-    add("profile", has_field(f, "WARC-Profile") & is_bracketed(field_or_empty(f, "WARC-Profile")), "BadSpecUri", "WARC-Target-URI")
+    add("profile", _has("WARC-Profile") & is_bracketed(_value("WARC-Profile")), "BadSpecUri", "WARC-Target-URI")
     cont = typ == "continuation"
     for name in ("WARC-Segment-Origin-ID", "WARC-Segment-Total-Length", "WARC-Segment-Number"):
         needed("segment", name, cont)
     for name in ("WARC-Segment-Origin-ID", "WARC-Segment-Total-Length"):
-        add("segment", has_field(f, name) & ~cont, "ProhibitedField", name)
-    number = u64_strict(field_or_empty(f, "WARC-Segment-Number"))
-    add("segment", has_field(f, "WARC-Segment-Number") & number.isNull(), "ParseInt", "WARC-Segment-Number")
+        add("segment", _has(name) & ~cont, "ProhibitedField", name)
+    number = u64_strict(_value("WARC-Segment-Number"))
+    add("segment", _has("WARC-Segment-Number") & number.isNull(), "ParseInt", "WARC-Segment-Number")
     add("segment", cont & (number == 1), "InvalidSegment")
-    add("segment", has_field(f, "WARC-Segment-Total-Length") & u64_strict(field_or_empty(f, "WARC-Segment-Total-Length")).isNull(), "ParseInt", "WARC-Segment-Total-Length")
+    add("segment", _has("WARC-Segment-Total-Length") & u64_strict(_value("WARC-Segment-Total-Length")).isNull(), "ParseInt", "WARC-Segment-Total-Length")
     return out
 
 
-def header_problems(records: DataFrame, checks=CHECKS) -> DataFrame:
-    r = records
-    absent = lambda n: get_field("fields", n)
-    r = r.withColumns({
-        "_ip_ok": ip_is_valid(absent("WARC-IP-Address")),
-        "_refers_ok": url_is_valid(absent("WARC-Refers-To-Target-URI")),
-        "_target_ok": url_is_valid(unbracketed(absent("WARC-Target-URI"))),
+def _with_validity(records: DataFrame) -> DataFrame:
+    """Adds what the header rules need from Python: whether addresses and URLs are valid."""
+    return _with_headers(records).withColumns({
+        "_ip_ok": ip_is_valid(_header("WARC-IP-Address")),
+        "_refers_ok": url_is_valid(_header("WARC-Refers-To-Target-URI")),
+        "_target_ok": url_is_valid(unbracketed(_header("WARC-Target-URI"))),
     })
+
+
+def _found(checks) -> Column:
+    """The header problems of a record as an array."""
     rules = header_rules(checks)
-    if not rules:
-        return _shape(r.where("false").select(field_or_empty("fields", "WARC-Record-ID").alias("record_id"), F.lit("").alias("kind"), "file", "record_index", F.lit(0).alias("ord")))
-    found = F.explode(F.filter(F.array(*rules), lambda p: p.isNotNull())).alias("p")
-    return _shape(r.select(field_or_empty("fields", "WARC-Record-ID").alias("record_id"), "file", "record_index", found).select("record_id", "file", "record_index", "p.*"))
+    none = F.array().cast("array<struct<kind: string, arg: string, ord: int>>")
+    return F.filter(F.array(*rules), lambda p: p.isNotNull()) if rules else none
+
+
+_RID = ("record_id", "file", "record_index")
+
+
+def header_problems(records: DataFrame, checks=CHECKS) -> DataFrame:
+    r = _with_validity(records).select(field_or_empty("fields", "WARC-Record-ID").alias("record_id"), "file", "record_index", _found(checks).alias("header"))
+    return _exploded(r, "header")
+
+
+def _exploded(slim: DataFrame, column: str) -> DataFrame:
+    return _shape(slim.select(*_RID, F.explode(column).alias("p")).select(*_RID, "p.*"))
 
 
 def _shape(df: DataFrame) -> DataFrame:
@@ -112,8 +149,11 @@ def _shape(df: DataFrame) -> DataFrame:
 # ---- digests
 
 
-@F.pandas_udf(array(struct(kind=STRING, arg=STRING, algorithm=STRING, expected=STRING, actual=STRING)))
-def _digest_problems(block_labels: pd.Series, payload_labels: pd.Series, kinds: pd.Series, blocks: pd.Series) -> pd.Series:
+_DIGEST = array(struct(kind=STRING, arg=STRING, algorithm=STRING, expected=STRING, actual=STRING, ord=INT))
+
+
+@F.pandas_udf(_DIGEST)
+def _digest_problems(block_labels: pd.Series, payload_labels: pd.Series, kinds: pd.Series, errors: pd.Series, blocks: pd.Series) -> pd.Series:
     """Of each record the labels that can't be read and the digests that don't match, in one pass over its bytes."""
 
     def compare(labels, data, mismatch):
@@ -131,10 +171,12 @@ def _digest_problems(block_labels: pd.Series, payload_labels: pd.Series, kinds:
         return out
 
     rows = []
-    for bl, pl, kind, block in zip(block_labels, payload_labels, kinds, blocks):
+    for bl, pl, kind, error, block in zip(block_labels, payload_labels, kinds, errors, blocks):
         data = bytes(block if block is not None else b"")
         out = compare(bl, data, "DigestMismatch")
-        if kind is not None and pl is not None and len(pl):
+        if error is not None and pl is not None and len(pl):
+            out.append(("ParsePayload", error, None, None, None))
+        elif kind is not None and pl is not None and len(pl):
             payload = data
             if kind == "http":
                 try:
@@ -143,36 +185,58 @@ def _digest_problems(block_labels: pd.Series, payload_labels: pd.Series, kinds:
                     out.append(("ParsePayload", e.kind, None, None, None))
                     payload = b""
             out += compare(pl, payload, "PayloadDigestMismatch")
-        rows.append([dict(zip(("kind", "arg", "algorithm", "expected", "actual"), p)) for p in out])
+        rows.append([dict(zip(("kind", "arg", "algorithm", "expected", "actual", "ord"), (*p, 1000 + k))) for k, p in enumerate(out)])
     return pd.Series(rows, dtype=object)
 
 
-def digest_problems(records: DataFrame, checks=CHECKS) -> DataFrame:
-    """Problems of block and payload digests. Records without such fields don't leave the JVM, nor do their blocks."""
-    from .extract import with_content
+@F.pandas_udf(struct(ip_ok=BOOLEAN, refers_ok=BOOLEAN, target_ok=BOOLEAN, digest=_DIGEST))
+def _survey(ips: pd.Series, refers: pd.Series, targets: pd.Series, block_labels: pd.Series, payload_labels: pd.Series, kinds: pd.Series, errors: pd.Series, blocks: pd.Series) -> pd.DataFrame:
+    """All that verification needs from Python, in one transfer."""
+    return pd.DataFrame({"ip_ok": ip_is_valid.func(ips), "refers_ok": url_is_valid.func(refers), "target_ok": url_is_valid.func(targets), "digest": _digest_problems.func(block_labels, payload_labels, kinds, errors, blocks)}).astype(object)
+
+
+_survey = _survey.asNondeterministic()  # one evaluation, though several columns come from it
 
+
+def _digest_inputs(checks) -> tuple[Column, ...]:
+    """What the digest rules need of a record (with content_kind and content_error); without such a field its block doesn't leave the JVM."""
     none = F.array().cast("array<string>")
     block = get_all_fields("fields", "WARC-Block-Digest") if "block-digest" in checks else none
     payload = get_all_fields("fields", "WARC-Payload-Digest") if "payload-digest" in checks else none
-    r = with_content(records).withColumns({"_b": block, "_p": payload}).where((F.size("_b") > 0) | (F.size("_p") > 0))
-    p = F.posexplode(_digest_problems("_b", "_p", "content_kind", "block")).alias("k", "p")
-    return _shape(r.select(field_or_empty("fields", "WARC-Record-ID").alias("record_id"), "file", "record_index", p).select("record_id", "file", "record_index", (F.col("k") + 1000).alias("ord"), "p.*"))
+    return block, payload, F.col("content_kind"), F.col("content_error"), F.when((F.size(block) > 0) | (F.size(payload) > 0), F.col("block"))
+
+
+def digest_problems(records: DataFrame, checks=CHECKS) -> DataFrame:
+    """Problems of block and payload digests."""
+    from .extract import with_content
+
+    r = with_content(records).select(field_or_empty("fields", "WARC-Record-ID").alias("record_id"), "file", "record_index", F.explode(_digest_problems(*_digest_inputs(checks))).alias("p"))
+    return _shape(r.select(*_RID, "p.*"))
 
 
 # ---- references and segments
 
 
-def references(records: DataFrame, checks=CHECKS) -> DataFrame:
-    """(record_id, target, kind) of every reference that the enabled checks follow."""
+def _referred(checks) -> Column:
+    """The references of a record that the enabled checks follow, as an array of (target, kind)."""
     typ = field_or_empty("fields", "WARC-Type")
     kinds = (
         ("concurrent-to", "WARC-Concurrent-To", ~typ.isin("warcinfo", "conversion", "continuation")),
         ("refers-to", "WARC-Refers-To", ~typ.isin("continuation", "request", "resource", "response", "warcinfo")),
         ("warcinfo-id", "WARC-Warcinfo-ID", typ != "warcinfo"),
     )
-    parts = [F.when(cond, F.transform(get_all_fields("fields", name), lambda v, n=check: F.struct(v.alias("target"), F.lit(n).alias("kind")))).otherwise(F.array().cast("array<struct<target: string, kind: string>>")) for check, name, cond in kinds if check in checks]
-    every = F.concat(*parts) if parts else F.array().cast("array<struct<target: string, kind: string>>")
-    return records.select(field_or_empty("fields", "WARC-Record-ID").alias("record_id"), F.explode(every).alias("r")).select("record_id", "r.target", "r.kind").distinct()
+    none = F.array().cast("array<struct<target: string, kind: string>>")
+    parts = [F.when(cond, F.transform(get_all_fields("fields", name), lambda v, n=check: F.struct(v.alias("target"), F.lit(n).alias("kind")))).otherwise(none) for check, name, cond in kinds if check in checks]
+    return F.concat(*parts) if parts else none
+
+
+def references(records: DataFrame, checks=CHECKS) -> DataFrame:
+    """(record_id, target, kind) of every reference that the enabled checks follow."""
+    return _references(records.select(field_or_empty("fields", "WARC-Record-ID").alias("record_id"), _referred(checks).alias("refs")))
+
+
+def _references(slim: DataFrame) -> DataFrame:
+    return slim.select("record_id", F.explode("refs").alias("r")).select("record_id", "r.target", "r.kind").distinct()
 
 
 def dangling(refs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -180,18 +244,34 @@ def dangling(refs: DataFrame, ids: DataFrame) -> DataFrame:
     return refs.join(ids.select(F.col("record_id").alias("target")), "target", "left_anti")
 
 
-def segment_rows(records: DataFrame) -> DataFrame:
-    """(origin, number, length, total) of records that are segments; of repeated numbers the last in order counts."""
+def _segment() -> Column:
+    """(number, origin, length, total) of a record that is a segment, else null."""
     rid = field_or_empty("fields", "WARC-Record-ID")
     number = u64_strict(field_or_empty("fields", "WARC-Segment-Number"))
-    r = records.where(has_field("fields", "WARC-Segment-Number")).select("file", "record_index", number.alias("number"), F.when(number == 1, rid).otherwise(field_or_empty("fields", "WARC-Segment-Origin-ID")).alias("origin"), F.col("content_length").alias("length"), F.when(number != 1, u64_strict(field_or_empty("fields", "WARC-Segment-Total-Length"))).alias("total"))
-    return r.where("number IS NOT NULL")
+    origin = F.when(number == 1, rid).otherwise(field_or_empty("fields", "WARC-Segment-Origin-ID"))
+    total = F.when(number != 1, u64_strict(field_or_empty("fields", "WARC-Segment-Total-Length")))
+    row = F.struct(number.alias("number"), origin.alias("origin"), F.col("content_length").alias("length"), total.alias("total"))
+    return F.when(has_field("fields", "WARC-Segment-Number") & number.isNotNull(), row)
+
+
+def segment_rows(records: DataFrame) -> DataFrame:
+    """file, record_index, number, origin, length, total of the records that are segments."""
+    return _segments(records.select("file", "record_index", _segment().alias("segment")))
+
+
+def _segments(slim: DataFrame) -> DataFrame:
+    return slim.where("segment IS NOT NULL").select("file", "record_index", "segment.*")
+
+
+#: Segment numbers that the scan of an origin covers, the last not included.
+FIRST_SEGMENT, LAST_SEGMENT = 1, (1 << 64) - 1
 
 
 def segments_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(origin, number, length) and (origin, total), the last in order of each key."""
+    """(origin, number, length) and (origin, total), the last in order of each key. Number 0 is no segment of an origin."""
     at = F.struct("file", "record_index")
-    segments = rows.groupBy("origin", "number").agg(F.max_by("length", at).alias("length"))
+    counted = rows.where((F.col("number") >= FIRST_SEGMENT) & (F.col("number") < F.lit(str(LAST_SEGMENT)).cast("decimal(20,0)")))
+    segments = counted.groupBy("origin", "number").agg(F.max_by("length", at).alias("length"))
     totals = rows.where("total IS NOT NULL").groupBy("origin").agg(F.max_by("total", at).alias("total"))
     return segments, totals
 
@@ -211,11 +291,32 @@ def segment_lengths(segments: DataFrame, totals: DataFrame) -> DataFrame:
 
 def rat_faults(records: DataFrame) -> DataFrame:
     """A problem for each file that holds several records in one compressed member, at its last record."""
-    last = F.max_by(field_or_empty("fields", "WARC-Record-ID"), "record_index")
+    last = F.max_by(F.col("record_id") if "record_id" in records.columns else field_or_empty("fields", "WARC-Record-ID"), "record_index")
     found = records.groupBy("file").agg(F.max("rat_fault").alias("fault"), last.alias("record_id"), F.max("record_index").alias("record_index")).where("fault")
     return _shape(found.select("record_id", F.lit("NotRecordAtTimeCompression").alias("kind"), "file", "record_index", F.lit(5000).alias("ord")))
 
 
+def survey(records: DataFrame, checks=CHECKS, own: bool = False) -> DataFrame:
+    """What verification needs of each record, in one pass: record_id, file, record_index, rat_fault, refs, segment; with
+    `own` also the record's own problems (header, digest). Blocks are read by the digest rules alone."""
+    columns = [field_or_empty("fields", "WARC-Record-ID").alias("record_id"), F.col("file"), F.col("record_index"), F.col("rat_fault") if "rat_fault" in records.columns else F.lit(False).alias("rat_fault"), _referred(checks).alias("refs"), _segment().alias("segment")]
+    if own:
+        from .extract import with_content
+
+        own_ = _survey(_header("WARC-IP-Address"), _header("WARC-Refers-To-Target-URI"), unbracketed(_header("WARC-Target-URI")), *_digest_inputs(checks))
+        records = _with_headers(with_content(records)).withColumn("_own", own_).withColumns({f"_{c}": F.col(f"_own.{c}") for c in ("ip_ok", "refers_ok", "target_ok")})
+        columns += [_found(checks).alias("header"), F.col("_own.digest").alias("digest")]
+    return records.select(*columns)
+
+
+def own_problems(slim: DataFrame, checks=CHECKS) -> DataFrame:
+    """The problems that records and files have by themselves, from a survey with `own`."""
+    out = [_exploded(slim, c) for c in ("header", "digest") if c in slim.columns]
+    if "record-at-time-compression" in checks:
+        out.append(rat_faults(slim))
+    return reduce(DataFrame.unionByName, out)
+
+
 @dataclass
 class State:
     """What verification keeps of earlier runs: ids, references and segments."""
@@ -226,7 +327,11 @@ class State:
 
     @classmethod
     def of(cls, records: DataFrame, checks=CHECKS) -> State:
-        return cls(records.select(field_or_empty("fields", "WARC-Record-ID").alias("record_id")).distinct(), references(records, checks), segment_rows(records))
+        return cls.of_survey(survey(records, checks))
+
+    @classmethod
+    def of_survey(cls, slim: DataFrame) -> State:
+        return cls(slim.select("record_id").distinct(), _references(slim), _segments(slim))
 
     def union(self, other: State) -> State:
         return State(self.ids.unionByName(other.ids).distinct(), self.refs.unionByName(other.refs).distinct(), self.segments.unionByName(other.segments))
@@ -259,18 +364,14 @@ def verify(records: DataFrame, exclude=(), state_path: str | None = None) -> Dat
     if unknown:
         raise ValueError(f"no such check: {', '.join(sorted(unknown))}")
     checks = tuple(c for c in CHECKS if c not in exclude)
-    out = [header_problems(records, checks)]
-    if {"block-digest", "payload-digest"} & set(checks):
-        out.append(digest_problems(records, checks))
-    if "record-at-time-compression" in checks:
-        out.append(rat_faults(records))
-    state = State.of(records, checks)
+    # the archive is scanned once; all that follows reads the short rows of this table
+    slim = cut(survey(records, checks, own=True), "verify")
+    state = State.of_survey(slim)
     if state_path:
         state.save(state_path)
         state = State.load(records.sparkSession, state_path)
         state = State(state.ids.distinct(), state.refs.distinct(), state.segments)
-    out.append(state_problems(state, checks))
-    return reduce(DataFrame.unionByName, out)
+    return own_problems(slim, checks).unionByName(state_problems(state, checks))
 
 
 def in_order(problems: DataFrame) -> DataFrame:

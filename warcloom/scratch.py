@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -23,3 +23,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         root = _own[0]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written to a table in the shared folder and read back: what follows starts from files that outlive any executor."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

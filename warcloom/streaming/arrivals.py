@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import verify as ve
+from ..scratch import cut
 from ..sources.archive import register
 
 
@@ -22,14 +23,12 @@ def verify_stream(records: DataFrame, state_path: str, problems_path: str, check
     checks = tuple(c for c in ve.CHECKS if c not in exclude)
 
     def each(batch: DataFrame, number: int) -> None:
-        # the source's rows are read once for the several writes below
-        batch = batch.persist()
-        own = ve.header_problems(batch, checks).unionByName(ve.digest_problems(batch, checks)).unionByName(ve.rat_faults(batch))
-        own.write.mode("overwrite").parquet(f"{problems_path}/batch={number}")
-        state = ve.State.of(batch, checks)
+        # the source's rows are read once, for a table of short rows that the writes below share
+        slim = cut(ve.survey(batch, checks, own=True), "arrivals-survey")
+        ve.own_problems(slim, checks).write.mode("overwrite").parquet(f"{problems_path}/batch={number}")
+        state = ve.State.of_survey(slim)
         for name in ("ids", "refs", "segments"):
             getattr(state, name).write.mode("overwrite").parquet(f"{state_path}/{name}/batch={number}")
-        batch.unpersist()
 
     writer = records.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
