@@ -157,6 +157,23 @@ def gram_hashes(doc: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray,
     return d[fresh], h[fresh]
 
 
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The lowest member of each of 0..n-1's connected component under the edges (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        if (root == before).all():
+            return root
+
+
 def pieces(batches, rows: int = 256):
     """Batches in slices of few rows: Python objects are made for these alone. Memory that is free goes back at the end."""
     for b in batches:

@@ -1,18 +1,24 @@
-"""All pairs of documents whose sets of word n-grams have a Jaccard similarity of at least a threshold.
+"""Documents whose sets of word n-grams have a Jaccard similarity of at least a threshold.
 
-The document by n-gram incidence matrix A is multiplied with its transpose in blocks, and pairs that their sizes rule
-out are discarded as early as the counts allow. The result is exact (n-grams are told apart by a hash of 40 bits and
-more, growing with the input: as many as number the blocks come on top).
+The document by n-gram incidence matrix A is multiplied with its transpose in blocks that accumulate overlap counts, and
+pairs are discarded as soon as their sizes rule them out. The result is exact (n-grams are told apart by a hash of 40
+bits and those that number the blocks, which grow with the input).
 
 1. Columns. Each task hashes its documents' n-grams and sends them, packed, to blocks of columns. A block knows how many
    documents have each of its n-grams. A column of one document adds nothing to any product and is dropped here.
 2. Rows. The rest goes back to the documents. Two documents of Jaccard similarity t or more share at least t*|x|
    n-grams, so a document with fewer shared columns than that has no partner and is discarded, whatever passages it
-   shares. Documents with the same set are joined to the lowest of them, which alone goes on.
-3. Candidates. Of |x| n-grams, ordered by how many documents have them, a partner must share one of the first
-   |x| - ceil(t*|x|) + 1; a pair must also have t*|x| <= |y|.
-4. Products. Candidate pairs are laid out in blocks of rows; a block gets each set it needs once, accumulates the
-   overlaps and keeps the pairs above the bound t/(1+t)*(|x|+|y|).
+   shares. Documents with the same set are one class of copies; the lowest of them alone goes on.
+3. First product. Of |x| n-grams, ordered by how many documents have them, a partner must share one of the first
+   |x| - ceil(t*|x|) + 1. Over these columns the blocks of A*A' are formed: each emits the overlap that it finds of every
+   pair with t*|x| <= |y|, and the overlaps of the blocks are added up. What is left uncounted of a pair lies beyond the
+   last of these columns of one of the two, which bounds it; pairs whose count and bound stay below
+   t/(1+t)*(|x|+|y|) are discarded.
+4. Second product. The pairs left are laid out in blocks of rows; a block gets each set that it needs once, accumulates
+   the whole overlaps and keeps the pairs above the bound.
+
+A block of rows either lists its pairs (ngram_jaccard_join) or only counts the links of each document and joins its
+documents into classes (ngram_classes): then no more rows leave it than it has documents.
 
 Nothing is broadcast but the code; all intermediate tables are in the shared folder or in shuffles.
 """
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, gram_hashes, mix, new_dir, one_row_per_id, remove, slices, text_buffers, trim, word_hashes
+from .common import cut, documents, gram_hashes, joined, mix, new_dir, one_row_per_id, remove, slices, text_buffers, trim, word_hashes
 
 N_GRAM = 3
 THRESHOLD = 0.6
@@ -39,6 +45,7 @@ TOKENS = 1_000_000
 _COLS = "block long, flush long, docs binary, counts binary, hashes binary"
 _SHARED = "flush long, block long, docs binary, counts binary, values binary, dfs binary"
 _ROWS = "doc_id long, size long, n_shared long, anchor long, sig binary, n_prefix long, columns binary"
+_TOKENS = "block long, hashes binary, docs binary, sizes binary, rest binary"
 
 
 def least(size, t: float):
@@ -199,23 +206,24 @@ def _survivors(t: float):
 
 
 def _tokens(blocks: int):
-    """Prefixes to packed (token, document, size) by block of tokens."""
+    """Prefixes to packed (column, document, size, n-grams beyond the prefix) by block of columns."""
 
     def flush(parts):
-        h, d, s = (np.concatenate(x) for x in zip(*parts))
+        h, d, s, r = (np.concatenate(x) for x in zip(*parts))
         order, keys, at = _split(mix(h) % np.uint64(blocks), blocks)
-        h, d, s = h[order], d[order], s[order]
+        h, d, s, r = h[order], d[order], s[order], r[order]
         cuts = list(zip(at[:-1], at[1:]))
-        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array([0] * len(cuts), pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in (h, d, s))], names=["block", "flush", "docs", "counts", "hashes"])
+        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *(pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in (h, d, s.astype(np.int32), r.astype(np.int32)))], names=["block", "hashes", "docs", "sizes", "rest"])
 
     def run(batches):
         parts, held = [], 0
         for b in batches:
             for doc, size, columns, prefix in zip(*(b.column(k).to_pylist() for k in range(4))):
-                h = np.frombuffer(columns, np.uint64)[:prefix]
+                whole = np.frombuffer(columns, np.uint64)
+                h = whole[:prefix]
                 if not len(h):
                     continue
-                parts.append((h, np.full(len(h), doc, np.int64), np.full(len(h), size, np.int64)))
+                parts.append((h, np.full(len(h), doc, np.int64), np.full(len(h), size), np.full(len(h), len(whole) - prefix)))
                 held += len(h)
                 if held >= BLOCK:
                     yield flush(parts)
@@ -226,68 +234,75 @@ def _tokens(blocks: int):
     return run
 
 
-def _candidates(t: float):
-    """Documents that share a prefix token, as pairs that their sizes allow; within a block each pair is told once."""
+def _partial(t: float):
+    """A block of A*A' over prefix columns: the pairs that their sizes allow with the overlap found in this block, and the
+    most that can lie beyond both prefixes' common part."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
-        h, d, s = (np.concatenate([_join(b.column(c), dt) for b in batches]) for c, dt in (("docs", np.uint64), ("counts", np.int64), ("hashes", np.int64)))
-        order = np.lexsort((s, h))
-        h, d, s = h[order], d[order], s[order]
+        h, d, s, r = (np.concatenate([_join(b.column(c), dt) for b in batches]) for c, dt in (("hashes", np.uint64), ("docs", np.int64), ("sizes", np.int32), ("rest", np.int32)))
+        ids, d = np.unique(d, return_inverse=True)
+        size, rest = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        size[d], rest[d] = s, r
+        order = np.lexsort((size[d], h))
+        h, d = h[order], d[order]
+        s = size[d]
         n = len(h)
         at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        end = np.repeat(np.r_[at[1:], n], np.diff(np.r_[at, n]))
-        # by size within a token: partners of k are those after it with t*size <= size_k
+        # by size within a column: partners of k are those after it with t*size <= size_k
         limit = np.floor(s / t + 1e-9)
         upto = np.empty(n, np.int64)
         for i, j in zip(at.tolist(), np.r_[at[1:], n].tolist()):
             upto[i:j] = i + np.searchsorted(s[i:j], limit[i:j], side="right")
-        count = np.minimum(upto, end) - np.arange(n) - 1
+        count = upto - np.arange(n) - 1
         whole = np.cumsum(np.maximum(count, 0))
-        seen_a, seen_b, held = [], [], 0
+        held, n_held = [], 0
+
+        def told():
+            pair, overlap = _added([x for x, _ in held], [x for _, x in held])
+            a, b = pair // len(ids), pair % len(ids)
+            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(overlap), pa.array(size[a] + size[b]), pa.array(np.maximum(rest[a], rest[b]))], names=["doc_a", "doc_b", "overlap", "both", "rest"])
+
         i = 0
         while i < n:
             j = max(i + 1, int(np.searchsorted(whole, (whole[i - 1] if i else 0) + BLOCK, side="right")))
             c = np.maximum(count[i:j], 0)
             left = np.repeat(np.arange(i, j), c)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
-            a, b = np.minimum(d[left], d[right]), np.maximum(d[left], d[right])
-            a, b = _once(a, b)
-            seen_a.append(a)
-            seen_b.append(b)
-            held += len(a)
-            if held > 2 * BLOCK:
-                yield _pairs(*_once(np.concatenate(seen_a), np.concatenate(seen_b)))
-                seen_a, seen_b, held = [], [], 0
+            held.append(_added([np.minimum(d[left], d[right]) * len(ids) + np.maximum(d[left], d[right])], [np.ones(len(left), np.int64)]))
+            n_held += len(held[-1][0])
+            if n_held > 2 * BLOCK:
+                held = [_added([x for x, _ in held], [x for _, x in held])]
+                n_held = len(held[0][0])
+                if n_held > 2 * BLOCK:
+                    yield told()
+                    held, n_held = [], 0
             i = j
-        if held:
-            yield _pairs(*_once(np.concatenate(seen_a), np.concatenate(seen_b)))
-        del h, d, s, seen_a, seen_b, upto, count, whole
+        if n_held:
+            yield told()
+        del h, d, s, r, held, upto, count, whole
         trim()
 
     return run
 
 
-def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] & (a != b) if len(a) else np.zeros(0, bool)
-    return a[fresh], b[fresh]
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, each once, with the sum of its counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order, found, at = _split(key, 0)
+    return found, (np.add.reduceat(n[order], at[:-1]) if len(found) else n)
 
 
-def _pairs(a, b):
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_a", "doc_b"])
-
-
-def _products(t: float):
-    """A block of candidate pairs with the sets that it needs: the overlaps, and of those the ones above the bound."""
+def _products(t: float, listed: bool):
+    """A block of pairs with the sets that it needs: the overlaps, and of those the ones above the bound. Listed, or as
+    links counted for each document (`links`: other documents, their copies included) and a forest of their classes."""
 
     def run(key, pairs, sets):
-        ids, sizes = sets["doc_id"].to_numpy(), sets["size"].to_numpy()
+        ids, sizes, copies = (sets[c].to_numpy() for c in ("doc_id", "size", "copies"))
         order = np.argsort(ids)
         blobs = sets["columns"].to_pylist()
         grams = [np.frombuffer(blobs[k], np.uint64) for k in order]
-        ids, sizes = ids[order], sizes[order]
+        ids, sizes, copies = ids[order], sizes[order], copies[order]
         start = np.r_[0, np.cumsum([len(g) for g in grams])]
         _, code = np.unique(np.concatenate(grams), return_inverse=True) if grams else (None, np.zeros(0, np.int64))
         a, b = np.searchsorted(ids, pairs["doc_a"].to_numpy()), np.searchsorted(ids, pairs["doc_b"].to_numpy())
@@ -311,57 +326,113 @@ def _products(t: float):
         del code, grams, blobs, mark
         trim()
         a, b, overlap, both = a[keep], b[keep], overlap[keep], both[keep]
-        return pa.table({"doc_a": pa.array(ids[a], pa.int64()), "doc_b": pa.array(ids[b], pa.int64()), "overlap": pa.array(overlap, pa.int64()), "jaccard": pa.array(overlap / (both - overlap), pa.float64())})
+        if listed:
+            return pa.table({"doc_a": pa.array(ids[a], pa.int64()), "doc_b": pa.array(ids[b], pa.int64()), "overlap": pa.array(overlap, pa.int64()), "jaccard": pa.array(overlap / (both - overlap), pa.float64())})
+        links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
+        root = joined(len(ids), a, b)
+        linked = links > 0
+        return pa.table({"doc_id": pa.array(ids[linked], pa.int64()), "root": pa.array(ids[root[linked]], pa.int64()), "links": pa.array(links[linked].astype(np.int64))})
 
     return run
 
 
 _PAIRS = "doc_a long, doc_b long, overlap long, jaccard double"
+_LINKS = "doc_id long, root long, links long"
 
 
-def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_GRAM, block: int = BLOCK) -> DataFrame:
-    """Pairs (doc_a < doc_b, overlap, jaccard) of documents with Jaccard similarity >= threshold over their sets of word n-grams.
-
-    Words are runs of characters other than ASCII white space, in lower case; a text of 1 to n-1 words has one n-gram.
-    Documents with the same set are each paired with the lowest doc_id among them (jaccard 1), and only that one is
-    compared with others, so a group of m exact copies takes m-1 rows, not m*m.
-
-    Rows without doc_id, and null, empty or blank texts, are in no pair. Of rows with the same doc_id the greatest text
-    counts. Other columns are ignored, whatever their names. No documents give no pairs.
-    """
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must be above 0 and at most 1")
-    spark = docs.sparkSession
-    docs = one_row_per_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", "text")
+def _surviving(docs: DataFrame, threshold: float, n: int, block: int, at: str) -> tuple[DataFrame, DataFrame, int]:
+    """The rows that may have partners, one for each set with its number of copies; the copies' leads; the number of blocks."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / 6 / block))
-    at = new_dir(spark, "ngram-join")
     columns = docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(_incidence(n, blocks), _COLS)
     shared = columns.groupBy("block").applyInArrow(_columns, _SHARED)
     rows = cut(shared.groupBy("flush").applyInArrow(_survivors(threshold), _ROWS), f"{at}/rows", "zstd")
-    # documents of the same set
-    lead = cut(rows.groupBy("sig").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1"), f"{at}/lead")
-    named = rows.select("doc_id", "size", "sig").join(lead, "sig")
-    same = named.where("doc_id <> lead").select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    same = cut(same, f"{at}/same")
-    first = cut(rows.drop("sig").join(same.select(F.col("doc_b").alias("doc_id")), "doc_id", "left_anti"), f"{at}/first", "zstd")
-    remove(spark, f"{at}/rows")
+    # documents of the same set: an id and a count for each of them that has copies
+    lead = cut(rows.groupBy("sig").agg(F.min("doc_id").alias("lead"), F.count("*").alias("copies")).where("copies > 1"), f"{at}/lead")
+    same = cut(rows.select("doc_id", "size", "sig").join(lead, "sig").select("doc_id", "lead", "size", "copies"), f"{at}/same")
+    known = rows.drop("sig").join(same.select("doc_id", "lead", "copies"), "doc_id", "left").where("lead IS NULL OR lead = doc_id")
+    first = cut(known.drop("lead").fillna(1, ["copies"]), f"{at}/first", "zstd")
+    remove(docs.sparkSession, f"{at}/rows")
+    return first, same, blocks
+
+
+def _multiplied(first: DataFrame, threshold: float, block: int, blocks: int, at: str, listed: bool) -> DataFrame:
+    """Both products over the rows of different sets."""
+    t = threshold
     n_tokens = first.agg(F.coalesce(F.sum("n_prefix"), F.lit(0))).first()[0]
     token_blocks = max(1, math.ceil(n_tokens / TOKENS))
-    pairs = first.select("doc_id", "size", "columns", "n_prefix").mapInArrow(_tokens(token_blocks), _COLS).groupBy("block").applyInArrow(_candidates(threshold), "doc_a long, doc_b long").distinct()
+    parts = first.select("doc_id", "size", "columns", "n_prefix").mapInArrow(_tokens(token_blocks), _TOKENS).groupBy("block").applyInArrow(_partial(t), "doc_a long, doc_b long, overlap long, both long, rest long")
+    pairs = parts.groupBy("doc_a", "doc_b").agg(F.sum("overlap").alias("overlap"), F.first("both").alias("both"), F.first("rest").alias("rest"))
+    pairs = pairs.where((F.col("overlap") + F.col("rest")) * F.lit(1 + t) >= F.col("both") * F.lit(t) - F.lit(1e-9)).select("doc_a", "doc_b")
     pairs = cut(pairs.join(first.select(F.col("doc_id").alias("doc_a"), "anchor"), "doc_a"), f"{at}/pairs")
     # A block of rows: documents with the same least n-gram are near each other; large ones are divided in both directions.
     per = pairs.groupBy("anchor").agg(F.ceil(F.sqrt(F.count("*") / float(block))).cast("long").alias("parts"))
     pairs = pairs.join(per, "anchor").select("doc_a", "doc_b", F.xxhash64(F.pmod(F.xxhash64("anchor"), F.lit(64 * blocks)), F.pmod(F.xxhash64("doc_a"), "parts"), F.pmod(F.xxhash64("doc_b"), "parts")).alias("tile"))
     pairs = cut(pairs, f"{at}/tiles")
     needed = pairs.select(F.col("tile").alias("at"), F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
-    sets = needed.join(first.select("doc_id", "size", "columns"), "doc_id")
-    near = pairs.groupBy("tile").cogroup(sets.groupBy("at")).applyInArrow(_products(threshold), _PAIRS)
-    out = cut(near.unionByName(same), f"{at}-pairs")
+    sets = needed.join(first.select("doc_id", "size", "copies", "columns"), "doc_id")
+    return pairs.groupBy("tile").cogroup(sets.groupBy("at")).applyInArrow(_products(t, listed), _PAIRS if listed else _LINKS)
+
+
+def _prepared(docs: DataFrame, threshold: float) -> DataFrame:
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    return one_row_per_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", "text")
+
+
+def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_GRAM, block: int = BLOCK) -> DataFrame:
+    """Pairs (doc_a < doc_b, overlap, jaccard) of documents with Jaccard similarity >= threshold over their sets of word n-grams.
+
+    Words are runs of characters other than ASCII white space, in lower case; a text of 1 to n-1 words has one n-gram.
+    Documents with the same set are each paired with the lowest doc_id among them (jaccard 1), and only that one is
+    compared with others, so a group of m exact copies takes m-1 rows, not m*m.
+
+    Rows without doc_id, and null, empty or blank texts, are in no pair. Of rows with the same doc_id the greatest text
+    counts. Other columns are ignored, whatever their names. No documents give no pairs.
+    """
+    docs = _prepared(docs, threshold)
+    at = new_dir(docs.sparkSession, "ngram-join")
+    first, same, blocks = _surviving(docs, threshold, n, block, at)
+    copies = same.where("doc_id <> lead").select(F.col("lead").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard"))
+    out = cut(_multiplied(first, threshold, block, blocks, at, True).unionByName(copies), f"{at}-pairs")
+    remove(docs.sparkSession, at)
+    return out
+
+
+def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_GRAM, block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id, n_links) of the documents that have a partner at `threshold`.
+
+    n_links is the number of other documents with Jaccard similarity >= threshold, copies included, and class_id the
+    lowest doc_id of the documents that such links connect. Rows, texts and ties are taken as by ngram_jaccard_join; no
+    link is left out, though pairs are nowhere listed.
+    """
+    docs = _prepared(docs, threshold)
+    spark = docs.sparkSession
+    at = new_dir(spark, "ngram-classes")
+    first, same, blocks = _surviving(docs, threshold, n, block, at)
+    near = cut(_multiplied(first, threshold, block, blocks, at, False), f"{at}/near")
+    links = near.groupBy("doc_id").agg(F.sum("links").alias("links"))
+    label = groups(near.where("doc_id <> root").select(F.col("root").alias("doc_a"), F.col("doc_id").alias("doc_b")))
+    # what holds of a set's lead holds of its copies, which are linked to each other besides
+    copied = same.select("doc_id", "lead", (F.col("copies") - 1).alias("others"))
+    led = links.join(label, "doc_id", "left").select(F.col("doc_id").alias("lead"), "links", F.coalesce("group", "doc_id").alias("group"))
+    of_copies = copied.join(led, "lead", "left").select("doc_id", F.coalesce("group", "lead").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("others")).alias("n_links"))
+    alone = led.join(same.where("doc_id = lead").select("lead"), "lead", "left_anti").select(F.col("lead").alias("doc_id"), F.col("group").alias("class_id"), F.col("links").alias("n_links"))
+    out = cut(of_copies.unionByName(alone), f"{at}-classes")
     remove(spark, at)
     return out
 
 
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_GRAM, block: int = BLOCK) -> DataFrame:
+    """ngram_classes with a row for every doc_id: a document without partner is a class of its own, with no links.
+
+    Rows without doc_id have no row; a doc_id that repeats has one. No documents give no rows.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    found = ngram_classes(docs, threshold, n, block)
+    return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """(doc_id, group): connected components of the pairs, named by their lowest doc_id. Each round is cut into a table."""
     spark = pairs.sparkSession
@@ -388,22 +459,26 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir))
 
 
 OP6_SQL = rf"""
-WITH words AS (
+WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\r\f\v]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL
 ), grams AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {N_GRAM} THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - {N_GRAM - 2}), lambda i: array_to_string(list_slice(w, i, i + {N_GRAM - 1}), ' '))) END AS g FROM words
-), sets AS (SELECT doc_id, list_sort(g) AS g, len(g) AS n FROM grams WHERE len(g) > 0
-), lead AS (SELECT *, min(doc_id) OVER (PARTITION BY g) AS lead FROM sets
-), item AS (SELECT doc_id, n, unnest(g) AS x FROM lead WHERE doc_id = lead
+), sets AS (SELECT doc_id, len(g) AS n, g FROM grams WHERE len(g) > 0
+), item AS (SELECT doc_id, n, unnest(g) AS x FROM sets
 ), near AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS overlap
   FROM item a JOIN item b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), pair AS (SELECT doc_a, doc_b FROM near WHERE overlap * {1 + THRESHOLD} >= {THRESHOLD} * (na + nb) - 1e-9
+), link AS (SELECT doc_a, doc_b FROM pair UNION ALL SELECT doc_b, doc_a FROM pair
+), reach(doc_id, other) AS (SELECT doc_a, doc_b FROM link UNION SELECT r.doc_id, l.doc_b FROM reach r JOIN link l ON r.other = l.doc_a
+), class AS (SELECT doc_id, least(doc_id, min(other)) AS class_id FROM reach GROUP BY doc_id
+), links AS (SELECT doc_a AS doc_id, count(*) AS n_links FROM link GROUP BY 1
 )
-SELECT doc_a, doc_b, overlap, overlap / (na + nb - overlap)::DOUBLE AS jaccard FROM near WHERE overlap * {1 + THRESHOLD} >= {THRESHOLD} * (na + nb) - 1e-9
-UNION ALL SELECT lead, doc_id, n, 1.0::DOUBLE FROM lead WHERE doc_id <> lead
+SELECT d.doc_id AS doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN class ON d.doc_id = class.doc_id LEFT JOIN links ON d.doc_id = links.doc_id
 """
