@@ -361,6 +361,35 @@ def test_ngram_join(spark, t, n):
     assert len(got) == len({(r.doc_a, r.doc_b) for r in got})
 
 
+def classes_of(links, ids):
+    """class and number of links by plain union of the links."""
+    group, n = {d: d for d in ids}, dict.fromkeys(ids, 0)
+    for a, b in links:
+        n[a], n[b] = n[a] + 1, n[b] + 1
+        low, high = sorted((group[a], group[b]))
+        group = {d: low if g == high else g for d, g in group.items()}
+    return {(d, group[d], n[d]) for d in ids}
+
+
+@pytest.mark.parametrize("t,n", [(0.5, 3), (0.6, 3), (0.8, 2), (1.0, 3)])
+def test_ngram_classes(spark, t, n):
+    """Every link is counted, those of copies too, though no pair is listed."""
+    rows = near_rows(random.Random(int(t * 10) + n))
+    rows += [(1000 + k, rows[k % 3][1]) for k in range(9)]
+    grams = lambda x: frozenset(tuple(w[k : k + n]) for w in [x.lower().split()] for k in range(max(1, len(w) - n + 1)))
+    sets = [(d, grams(x)) for d, x in rows]
+    links = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[i + 1 :] if len(x & y) / len(x | y) >= t - 1e-12]
+    got = ngram_join.near_duplicates(frame(spark, rows), t, n, block=500).collect()
+    assert {tuple(r) for r in got} == classes_of(links, [d for d, _ in rows]) and len(got) == len(rows)
+
+
+def test_ngram_classes_odd(spark):
+    got = {tuple(r) for r in ngram_join.near_duplicates(odd(spark)).collect()}
+    assert got == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 1), (6, 5, 1), (7, 7, 0)}
+    assert ngram_join.near_duplicates(frame(spark, [])).count() == 0
+    assert {tuple(r) for r in ngram_join.near_duplicates(frame(spark, [(1, None), (None, "a b c")])).collect()} == {(1, 1, 0)}
+
+
 def test_ngram_join_odd(spark):
     got = ngram_join.ngram_jaccard_join(odd(spark)).collect()
     assert {(r.doc_a, r.doc_b) for r in got} == {(5, 6)}
@@ -390,11 +419,25 @@ def test_embeddings(spark):
         assert {(r.id_a, r.id_b) for r in got} == set(zip(i.tolist(), j.tolist())) and len(got) == len(i)
 
 
+def test_embedding_classes(spark):
+    rng = np.random.default_rng(19)
+    a = rng.normal(size=(300, 16)) * np.linspace(2, 0.3, 16)
+    a[100:200] = a[:100] + rng.normal(size=(100, 16)) * 0.2
+    a[200:] = a[rng.integers(0, 20, 100)]  # equal vectors, which fall into different tiles
+    df = frame(spark, [(k, [float(z) for z in x]) for k, x in enumerate(a)], "vec_id long, embedding array<double>")
+    u = a / np.linalg.norm(a, axis=1)[:, None]
+    i, j = np.nonzero(np.triu(u @ u.T, 1) >= 0.95)
+    got = embedding_dedup.embedding_classes(df, 0.95, tile=32).collect()
+    assert {tuple(r) for r in got} == classes_of(zip(i.tolist(), j.tolist()), range(300)) and len(got) == 300
+
+
 def test_embeddings_odd(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0]), (None, [1.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (1, [1.0, 0.0]), (8, [])]
     df = frame(spark, rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("x")).withColumn("v", F.lit("y")).withColumn("tile", F.lit(1))
     assert [tuple(r) for r in embedding_dedup.near_embeddings(df).collect()] == [(1, 2, 1.0)]
     assert embedding_dedup.near_embeddings(df.where("false")).count() == 0
+    assert {tuple(r) for r in embedding_dedup.embedding_classes(df).collect()} == {(1, 1, 1), (2, 1, 1), *((k, k, 0) for k in range(3, 9))}
+    assert embedding_dedup.embedding_classes(df.where("false")).count() == 0
 
 
 # ---- 8

@@ -1,4 +1,4 @@
-"""Pairs of embeddings with a cosine of at least a threshold, by tiled comparison in PCA order.
+"""Embeddings with a cosine of at least a threshold, by tiled comparison in PCA order: as pairs, or as classes with links counted.
 
 Vectors are scaled to length 1 and rotated to their principal axes (found from the second moments of all rows), so the
 leading dimensions hold most of every product. Rows are ordered by their leading coordinates and cut into tiles; two
@@ -12,12 +12,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, new_dir, remove
+from .common import cut, joined, new_dir, remove
+from .ngram_join import groups
 
 THRESHOLD = 0.95
 #: Rows of a tile, dimensions of a slab, and leading coordinates that bound a tile.
@@ -100,72 +102,136 @@ def compare(a: np.ndarray, b: np.ndarray, t: float, slab: int = SLAB) -> tuple[n
     return i[keep], j[keep], s[keep]
 
 
-def _tile(t: float):
+def _tile(t: float, listed: bool):
+    """Two tiles: their pairs, or the links of each vector and a forest of the classes."""
+
     def run(key, left, right):
         ids = [left["id"].to_numpy(), right["rid"].to_numpy()]
         v = [np.frombuffer(b"".join(x.to_pylist())).reshape(len(x), -1) if len(x) else np.zeros((0, 1)) for x in (left["v"], right["rv"])]
-        out = ([], [], [])
+        every, number = np.unique(np.concatenate(ids), return_inverse=True)
+        mine, other = number[: len(ids[0])], number[len(ids[0]) :]
+        out, links, edges = ([], [], []), np.zeros(len(every), np.int64), []
         if len(ids[0]) and len(ids[1]):
             for p in range(0, len(v[0]), 256):
                 i, j, s = compare(v[0][p : p + 256], v[1], t)
-                a, b = ids[0][i + p], ids[1][j]
+                a, b = mine[i + p], other[j]
                 if key[0].as_py() == key[1].as_py():
                     keep = a < b
                     a, b, s = a[keep], b[keep], s[keep]
-                out[0].append(np.minimum(a, b)), out[1].append(np.maximum(a, b)), out[2].append(s)
+                if listed:
+                    out[0].append(every[np.minimum(a, b)]), out[1].append(every[np.maximum(a, b)]), out[2].append(s)
+                else:
+                    links += np.bincount(a, minlength=len(every)) + np.bincount(b, minlength=len(every))
+                    edges.append((a, b))
+        if not listed:
+            root = joined(len(every), *(np.concatenate([e[k] for e in edges]) if edges else np.zeros(0, np.int64) for k in (0, 1)))
+            has = links > 0
+            return pa.table({"id": pa.array(every[has], pa.int64()), "root": pa.array(every[root[has]], pa.int64()), "links": pa.array(links[has], pa.int64())})
         cat = [np.concatenate(x) if x else np.zeros(0) for x in out]
         return pa.table({"id_a": pa.array(cat[0].astype(np.int64)), "id_b": pa.array(cat[1].astype(np.int64)), "cosine": pa.array(cat[2].round(6), pa.float64())})
 
     return run
 
 
-def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", column: str = "embedding", tile: int = TILE) -> DataFrame:
-    """Pairs (id_a < id_b, cosine to six places) with cosine >= threshold.
+def _bucket(bounds: list[float]):
+    """A column function: how many of the bounds are at most the value."""
+    at = np.array(sorted(bounds))
 
-    Left out: rows without id, null or zero vectors, vectors with nulls or that aren't finite, and vectors whose length
-    isn't the most common one (the longer of equals). Of rows with one id the greatest vector counts. Equal vectors are
-    pairs of cosine 1. Other columns are ignored, whatever their names. No rows give no pairs.
-    """
+    @F.pandas_udf("long")
+    def bucket(c: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at, c.to_numpy(), side="right").astype(np.int64))
+
+    return bucket
+
+
+_PAIRS, _LINKS = "id_a long, id_b long, cosine double", "id long, root long, links long"
+
+
+def _compared(vectors: DataFrame, threshold: float, id_col: str, column: str, tile: int, listed: bool, at: str) -> DataFrame:
     spark = vectors.sparkSession
     base = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[column].cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     if not base.groupBy("id").count().where("count > 1").isEmpty():
         base = base.groupBy("id").agg(F.max("v").alias("v"))
     size = base.groupBy(F.size("v").alias("d")).count().where("d > 0").orderBy(F.desc("count"), F.desc("d")).first()
-    schema = "id_a long, id_b long, cosine double"
     if size is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], _PAIRS if listed else _LINKS)
     d, n = size
     base = base.where(F.size("v") == d)
     axes = principal_axes(base, "v", d)
-    at = new_dir(spark, "embeddings")
     coords = ", ".join(f"c{k} double" for k in range(BOX))
     rotated = cut(base.mapInArrow(_rotate(axes), f"id long, {coords}, v binary"), f"{at}/rotated")
     # strips of equal counts by the first coordinate, then tiles by the second within a strip
     strips = max(1, math.isqrt(math.ceil(n / tile)))
-    q = rotated.approxQuantile("c0", [k / strips for k in range(1, strips)], 0.001) if strips > 1 else []
-    strip = sum((F.when(F.col("c0") >= x, 1).otherwise(0) for x in q), F.lit(0))
+    strip_of = _bucket(rotated.approxQuantile("c0", [k / strips for k in range(1, strips)], 0.001) if strips > 1 else [])
     w = W.partitionBy("strip").orderBy("c1", "id")
-    tiled = rotated.withColumn("strip", strip).withColumn("tile", F.floor((F.row_number().over(w) - 1) / F.lit(tile)).cast("long") * F.lit(strips) + F.col("strip"))
+    tiled = rotated.withColumn("strip", strip_of("c0")).withColumn("tile", F.floor((F.row_number().over(w) - 1) / F.lit(tile)).cast("long") * F.lit(strips) + F.col("strip"))
     tiled = cut(tiled.select("tile", "id", *(f"c{k}" for k in range(BOX)), "v"), f"{at}/tiled")
     boxes = cut(tiled.groupBy("tile").agg(*(f(f"c{k}").alias(f"{n_}{k}") for k in range(BOX) for n_, f in (("lo", F.min), ("hi", F.max)))), f"{at}/boxes")
-    other = boxes.select(*(F.col(c).alias(f"r_{c}") for c in boxes.columns))
+    # tiles meet in the strips that their box, widened by the threshold's distance, touches
+    far = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9  # |a-b|^2 = 2 - 2cos
+    near = boxes.select("*", F.explode(F.sequence(strip_of(F.col("lo0") - F.lit(far)), strip_of(F.col("hi0") + F.lit(far)))).alias("strip"))
+    other = boxes.select(*(F.col(c).alias(f"r_{c}") for c in boxes.columns), F.pmod("tile", F.lit(strips)).alias("strip"))
     gap = [F.greatest(F.lit(0.0), F.col(f"lo{k}") - F.col(f"r_hi{k}"), F.col(f"r_lo{k}") - F.col(f"hi{k}")) for k in range(BOX)]
-    reach = sum((g * g for g in gap), F.lit(0.0)) <= 2 - 2 * threshold + 1e-9  # |a-b|^2 = 2 - 2cos
-    pairs = cut(boxes.join(other, F.col("tile") <= F.col("r_tile")).where(reach).select(F.col("tile").alias("i"), F.col("r_tile").alias("j")), f"{at}/pairs")
+    reach = sum((g * g for g in gap), F.lit(0.0)) <= far * far
+    pairs = cut(near.join(other, "strip").where((F.col("tile") <= F.col("r_tile")) & reach).select(F.col("tile").alias("i"), F.col("r_tile").alias("j")), f"{at}/pairs")
     rows = tiled.select("tile", "id", "v")
     left = rows.join(pairs, F.col("tile") == F.col("i")).select("i", "j", "id", "v")
     right = rows.join(pairs.select(F.col("i").alias("ri"), F.col("j").alias("rj")), F.col("tile") == F.col("rj")).select("ri", "rj", F.col("id").alias("rid"), F.col("v").alias("rv"))
-    out = cut(left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInArrow(_tile(threshold), schema), f"{at}-out")
+    return left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInArrow(_tile(threshold, listed), _PAIRS if listed else _LINKS)
+
+
+def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", column: str = "embedding", tile: int = TILE) -> DataFrame:
+    """Pairs (id_a < id_b, cosine to six places) with cosine >= threshold.
+
+    Left out: rows without id, null or zero vectors, vectors with nulls or that aren't finite, and vectors whose length
+    isn't the most common one (the longer of equals). Of rows with one id the greatest vector counts. Equal vectors are
+    pairs of cosine 1, in whatever tiles they are. Other columns are ignored, whatever their names. No rows give no pairs.
+    """
+    at = new_dir(vectors.sparkSession, "embeddings")
+    out = cut(_compared(vectors, threshold, id_col, column, tile, True, at), f"{at}-out")
+    remove(vectors.sparkSession, at)
+    return out
+
+
+def embedding_classes(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", column: str = "embedding", tile: int = TILE) -> DataFrame:
+    """(the id column, class_id, n_links) for every id: how many other vectors have cosine >= threshold with it, and the
+    lowest id of those that such links connect. Vectors that near_embeddings leaves out have no links and are classes of their own."""
+    spark = vectors.sparkSession
+    at = new_dir(spark, "embedding-classes")
+    near = cut(_compared(vectors, threshold, id_col, column, tile, False, at), f"{at}-near")
     remove(spark, at)
+    label = groups(near.where("id <> root").select(F.col("root").alias("doc_a"), F.col("id").alias("doc_b")))
+    links = near.groupBy("id").agg(F.sum("links").alias("links"))
+    ids = vectors.select(vectors[id_col].cast("long").alias("id")).where("id IS NOT NULL").distinct()
+    out = ids.join(links, "id", "left").join(label.withColumnRenamed("doc_id", "id"), "id", "left")
+    out = cut(out.select(F.col("id").alias(id_col), F.coalesce("group", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")), f"{at}-out")
+    remove(spark, f"{at}-near")
     return out
 
 
+LOOSE = 0.4
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return embedding_classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
 
+def embedding_classes_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator at a threshold that unrelated vectors reach, so that small tables have links."""
+    return embedding_classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), LOOSE, tile=128)
 
-OP7_SQL = f"""
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
-SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine
-FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD} - 1e-9
+
+def classes_sql(threshold: float) -> str:
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), pair AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {threshold} - 1e-9
+), link AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair
+), reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), class AS (SELECT a, least(a, min(b)) AS class_id FROM reach GROUP BY a
+), links AS (SELECT a, count(*) AS n_links FROM link GROUP BY a
+)
+SELECT v.vec_id AS vec_id, coalesce(class_id, v.vec_id) AS class_id, coalesce(n_links, 0) AS n_links FROM v LEFT JOIN class ON v.vec_id = class.a LEFT JOIN links ON v.vec_id = links.a
 """
+
+
+OP7_SQL, LOOSE_SQL = classes_sql(THRESHOLD), classes_sql(LOOSE)

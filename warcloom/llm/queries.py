@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .embedding_dedup import OP7_SQL, op7_embedding_near_dedup
+from .embedding_dedup import LOOSE_SQL, OP7_SQL, embedding_classes_loose, op7_embedding_near_dedup
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .langid import op3_language_id
 from .mixing import OP4_SQL, op4_mixing_curriculum
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
+    "embedding_classes_loose": embedding_classes_loose,
 }
 
 ORACLE_SQL = {
@@ -31,4 +32,5 @@ ORACLE_SQL = {
     "op4_mixing_curriculum": OP4_SQL,
     "op6_ngram_jaccard_join": OP6_SQL,
     "op7_embedding_near_dedup": OP7_SQL,
+    "embedding_classes_loose": LOOSE_SQL,
 }
