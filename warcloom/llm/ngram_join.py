@@ -41,6 +41,8 @@ THRESHOLD = 0.6
 BLOCK, FLUSH = 500_000, 1_000_000
 #: Prefix tokens that a block of them holds about: the fewer blocks, the fewer repeats of a candidate pair.
 TOKENS = 1_000_000
+#: Of the 32 bits that name a column in its block, those of its number; the rest tell which columns belong together.
+NUMBER_BITS = 21
 
 _COLS = "block long, flush long, docs binary, counts binary, hashes binary"
 _SHARED = "flush long, block long, docs binary, counts binary, values binary, dfs binary"
@@ -149,6 +151,11 @@ def _columns(key, table):
     at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     count = np.diff(np.r_[at, len(h)])
     number = np.repeat(np.arange(len(at), dtype=np.uint32), count)
+    if len(at) >> NUMBER_BITS:
+        raise ValueError("a block holds more columns than it has numbers: choose a smaller one")
+    # columns of the same first document belong together: most pairs of a family then meet in one block of the first product
+    near = mix(np.minimum.reduceat((flush << 24) + doc, at).view(np.uint64)) >> np.uint64(32 + NUMBER_BITS) if len(at) else np.zeros(0, np.uint64)
+    number |= np.repeat(near.astype(np.uint32) << np.uint32(NUMBER_BITS), count)
     df = np.repeat(count, count)
     keep = df > 1
     doc, flush, number, df = doc[keep], flush[keep], number[keep], np.minimum(df[keep], 255).astype(np.uint8)
@@ -205,12 +212,41 @@ def _survivors(t: float):
     return run
 
 
-def _tokens(blocks: int):
+def _together(column: np.ndarray) -> np.ndarray:
+    return (column & np.uint64(0xFFFFFFFF)) >> np.uint64(NUMBER_BITS)
+
+
+def _prefix_counts(batches):
+    """How many prefix columns each group of columns that belong together has."""
+    n = np.zeros(1 << (32 - NUMBER_BITS), np.int64)
+    for b in batches:
+        parts = [np.frombuffer(c, np.uint64)[:p] for c, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        n += np.bincount(_together(np.concatenate([*parts, np.zeros(0, np.uint64)])).astype(np.int64), minlength=len(n))
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["near", "n"])
+
+
+def _layout(counts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each group of columns its first block and how many it has: small groups share one, large ones are divided."""
+    first, parts = np.zeros(1 << (32 - NUMBER_BITS), np.int64), np.ones(1 << (32 - NUMBER_BITS), np.int64)
+    block, held = 0, 0
+    for near, n in sorted(counts):
+        if held and held + n > TOKENS:
+            block, held = block + 1, 0
+        first[near], parts[near] = block, math.ceil(n / TOKENS)
+        held += n
+        if held > TOKENS:
+            block, held = block + int(parts[near]), 0
+    return first, parts
+
+
+def _tokens(first: np.ndarray, parts_of: np.ndarray):
     """Prefixes to packed (column, document, size, n-grams beyond the prefix) by block of columns."""
 
     def flush(parts):
         h, d, s, r = (np.concatenate(x) for x in zip(*parts))
-        order, keys, at = _split(mix(h) % np.uint64(blocks), blocks)
+        near = _together(h).astype(np.int64)
+        order, keys, at = _split(first[near] + (mix(h) % parts_of[near].astype(np.uint64)).astype(np.int64), 0)
         h, d, s, r = h[order], d[order], s[order], r[order]
         cuts = list(zip(at[:-1], at[1:]))
         return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *(pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in (h, d, s.astype(np.int32), r.astype(np.int32)))], names=["block", "hashes", "docs", "sizes", "rest"])
@@ -261,7 +297,9 @@ def _partial(t: float):
         def told():
             pair, overlap = _added([x for x, _ in held], [x for _, x in held])
             a, b = pair // len(ids), pair % len(ids)
-            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(overlap), pa.array(size[a] + size[b]), pa.array(np.maximum(rest[a], rest[b]))], names=["doc_a", "doc_b", "overlap", "both", "rest"])
+            # the overlap that these columns must show: the pair's bound without the most that can lie beyond them
+            need = np.ceil((size[a] + size[b]) * t / (1 + t) - 1e-9).astype(np.int64) - np.maximum(rest[a], rest[b])
+            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(overlap, pa.int32()), pa.array(need, pa.int32())], names=["doc_a", "doc_b", "overlap", "need"])
 
         i = 0
         while i < n:
@@ -359,11 +397,9 @@ def _surviving(docs: DataFrame, threshold: float, n: int, block: int, at: str) -
 def _multiplied(first: DataFrame, threshold: float, block: int, blocks: int, at: str, listed: bool) -> DataFrame:
     """Both products over the rows of different sets."""
     t = threshold
-    n_tokens = first.agg(F.coalesce(F.sum("n_prefix"), F.lit(0))).first()[0]
-    token_blocks = max(1, math.ceil(n_tokens / TOKENS))
-    parts = first.select("doc_id", "size", "columns", "n_prefix").mapInArrow(_tokens(token_blocks), _TOKENS).groupBy("block").applyInArrow(_partial(t), "doc_a long, doc_b long, overlap long, both long, rest long")
-    pairs = parts.groupBy("doc_a", "doc_b").agg(F.sum("overlap").alias("overlap"), F.first("both").alias("both"), F.first("rest").alias("rest"))
-    pairs = pairs.where((F.col("overlap") + F.col("rest")) * F.lit(1 + t) >= F.col("both") * F.lit(t) - F.lit(1e-9)).select("doc_a", "doc_b")
+    counts = first.select("columns", "n_prefix").mapInArrow(_prefix_counts, "near long, n long").groupBy("near").agg(F.sum("n").alias("n")).collect()
+    parts = first.select("doc_id", "size", "columns", "n_prefix").mapInArrow(_tokens(*_layout([tuple(r) for r in counts])), _TOKENS).groupBy("block").applyInArrow(_partial(t), "doc_a long, doc_b long, overlap int, need int")
+    pairs = parts.groupBy("doc_a", "doc_b").agg(F.sum("overlap").alias("overlap"), F.first("need").alias("need")).where("overlap >= need").select("doc_a", "doc_b")
     pairs = cut(pairs.join(first.select(F.col("doc_id").alias("doc_a"), "anchor"), "doc_a"), f"{at}/pairs")
     # A block of rows: documents with the same least n-gram are near each other; large ones are divided in both directions.
     per = pairs.groupBy("anchor").agg(F.ceil(F.sqrt(F.count("*") / float(block))).cast("long").alias("parts"))
