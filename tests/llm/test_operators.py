@@ -77,6 +77,22 @@ def test_exact_dedup_odd(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_exact_dedup_of_derived_texts(spark, tmp_path):
+    """What is compared is the text of docs, not that of the file below them."""
+    rows = [(1, "Abc", "x"), (2, "abc", "x"), (3, "abd", "x"), (4, "ABD", "y")]
+    frame(spark, rows, "doc_id long, text string, body string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    firsts = lambda df: {r.doc_id: r.first_doc_id for r in exact_dedup.exact_dedup(df).collect()}
+    assert firsts(docs) == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert firsts(docs.withColumn("text", F.lower("text"))) == {1: 1, 2: 1, 3: 3, 4: 3}
+    assert firsts(docs.select("doc_id", F.col("body").alias("text"))) == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert firsts(docs.where("doc_id > 1").withColumn("text", F.lower("text"))) == {2: 2, 3: 3, 4: 3}
+    other = frame(spark, [(1, "q"), (2, "q")], "doc_id long, t string")
+    assert firsts(docs.drop("text").join(other, "doc_id").withColumnRenamed("t", "text")) == {1: 1, 2: 1}
+    with pytest.raises(ValueError):
+        exact_dedup.exact_dedup(docs.withColumn(exact_dedup.FILE, F.lit("x")))
+
+
 # ---- 2
 
 
@@ -119,6 +135,23 @@ def optimum(sizes, capacity):
     return best
 
 
+def test_packing_is_stable(spark):
+    """Partitioning changes nothing, and rows that share a doc_id never share a bin."""
+    rows = [(k % 90, "x" * (1 + k % 90)) for k in range(270)] + [(500, "y" * 250), (500, "y" * 250)]
+    docs = frame(spark, rows)
+    got = [sorted(map(tuple, packing.pack_documents(docs.repartition(n), capacity=100, shard=64).collect()), key=str) for n in (1, 7)]
+    assert got[0] == got[1]
+    for rows_ in got:
+        assert len({(d, b) for d, _, b, *_ in rows_}) == len(rows_)
+
+
+def test_packing_in_order(spark, tmp_path):
+    """Bins of a later range of the files' order come later, and hold documents of that range only."""
+    frame(spark, [(k, "x" * (1 + k % 40)) for k in range(400)]).repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "d"))
+    got = packing.pack_documents(spark.read.parquet(str(tmp_path / "d")), capacity=100, shard=50, in_order=True).collect()
+    assert {r.doc_id for r in got} == set(range(400)) and all(int(r.bin_id.split("-")[0]) == r.doc_id // 50 for r in got)
+
+
 def test_packing_near_optimum():
     rng, bad = random.Random(3), 0
     for _ in range(30):

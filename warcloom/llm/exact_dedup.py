@@ -21,27 +21,35 @@ from .common import cut, documents, new_dir, remove
 FILE, ROW = "__content_file", "__content_row"
 #: Bytes of fingerprints that a micro-batch takes at most.
 BATCH_BYTES = 64 << 30
-#: Rows of a file that one fetch covers.
-FETCH_ROWS = 16_384
+#: Rows of a file that one fetch covers; about a row group, which is decoded from its start.
+FETCH_ROWS = 1 << 20
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+def _is_parquet_scan(docs: DataFrame) -> bool:
+    """Whether docs is a scan of Parquet files and nothing else: then a row's file holds its text, under its name, as it is."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    relation = plan.relation()
+    return relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().toString().lower() == "parquet"
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """docs with the file and row that hold each one. What isn't a plain scan of files is written to the shared folder first."""
+    """docs with the file and row that hold each one. What isn't a plain scan of Parquet files (a projection, a filter, a
+    join, other formats) is written to the shared folder first, so that a locator always leads to the text of docs."""
 
     def add(df: DataFrame) -> DataFrame:
         meta = df.metadataColumn("_metadata")
         return df.select("*", meta["file_path"].alias(FILE), meta["row_index"].alias(ROW))
 
-    try:
-        out = add(docs)
-        out.schema  # noqa: B018
-        return out
-    except AnalysisException:
-        return add(cut(docs, new_dir(docs.sparkSession, "contents")))
+    clash = [c for c in docs.columns if c.lower() in (FILE, ROW)]
+    if clash:
+        raise ValueError(f"columns of these names hold locators here: {', '.join(clash)}")
+    return add(docs if _is_parquet_scan(docs) else cut(docs, new_dir(docs.sparkSession, "contents")))
 
 
 def keyed(docs: DataFrame, name: str) -> DataFrame:
@@ -107,6 +115,8 @@ def _fetch(key, table):
                         texts.append(batch.column(0).cast(pa.string()).take(pa.array(mine - start)))
                         found.append(mine)
                     start += len(batch)
+                    if start > inside[-1]:
+                        break
             at += n
     text = pa.concat_arrays(texts) if texts else pa.array([], pa.string())
     row = np.concatenate(found) if found else np.zeros(0, np.int64)

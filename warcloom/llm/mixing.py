@@ -82,7 +82,7 @@ def curriculum(docs: DataFrame, schedule: DataFrame | None = None, budget: int |
     rest = F.col("due") - F.col("d0")
     # w0*x + slope*x*x/2 = rest, in the form that holds for slope 0 too
     x = 2 * rest / (F.col("w0") + F.sqrt(F.greatest(F.lit(0.0), F.col("w0") * F.col("w0") + 2 * slope * rest)))
-    return hit.select("doc_id", "source", "tokens", "epoch", F.round(F.col("t0") + F.when(rest == 0, 0.0).otherwise(x), 9).alias("position"), "doc")
+    return hit.select("doc_id", "source", "tokens", "epoch", (F.col("t0") + F.when(rest == 0, 0.0).otherwise(x)).alias("position"), "doc")
 
 
 def mix_in_order(docs: DataFrame, **options) -> DataFrame:
@@ -92,7 +92,8 @@ def mix_in_order(docs: DataFrame, **options) -> DataFrame:
 
 def op4_mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return curriculum(docs).drop("doc").orderBy("position", "source", "doc_id")
+    # rounded for the comparison with SQL only: documents are sorted by the position itself
+    return curriculum(docs).drop("doc").orderBy("position", "source", "doc_id").withColumn("position", F.round("position", 9))
 
 
 _EXPONENTS = ", ".join(f"({t}::DOUBLE, {a}::DOUBLE)" for t, a in TEMPERATURE)

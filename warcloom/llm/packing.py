@@ -1,7 +1,9 @@
 """Packing documents into training sequences: best fit, then a local search that swaps and moves documents to empty bins.
 
 A document longer than a bin is cut: full bins of its own, and the rest is packed like any other. Shards of documents
-(by a hash of the document, their number in proportion to the input) are packed on their own, only ids and lengths being shuffled.
+are packed on their own, only ids and lengths being shuffled: by a hash of the document, or by ranges of the order that
+docs have in their files, so that a curriculum's order holds from shard to shard. Rows of a shard that share a doc_id
+(epochs of a document) go to bins of different layers, so no bin holds a document twice.
 
 The search takes the bins that aren't full, from the emptiest. It moves documents of the bin into the gaps of fuller
 bins, exchanges one of them for a shorter document of a fuller bin, or two for one, always so that the fuller bin gains;
@@ -15,9 +17,11 @@ from bisect import bisect_left, bisect_right, insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, n_tokens
+from .exact_dedup import FILE, ROW, located
 
 #: Byte-level tokens in a bin.
 CAPACITY = 32_768
@@ -146,12 +150,22 @@ def _shard(capacity: int):
     def run(key, table):
         shard = key[0].as_py()
         rows = sorted(zip(table["doc_id"].to_pylist(), table["piece"].to_pylist(), table["tokens"].to_pylist(), table["start"].to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
+        layers: list[list[int]] = []
+        seen: dict[int, int] = {}
+        for k, (doc, *_) in enumerate(rows):
+            layer = 0 if doc is None else seen.get(doc, 0)
+            if doc is not None:
+                seen[doc] = layer + 1
+            if layer == len(layers):
+                layers.append([])
+            layers[layer].append(k)
         out = {c: [] for c in ("doc_id", "piece", "bin_id", "bin_offset", "start", "tokens")}
-        for b, items in enumerate(pack([r[2] for r in rows], capacity)):
+        bins = [[own[k] for k in items] for own in layers for items in pack([rows[k][2] for k in own], capacity)]
+        for b, items in enumerate(bins):
             offset = 0
             for k in sorted(items):
                 doc, piece, tokens, start = rows[k]
-                for c, v in zip(out, (doc, piece, f"{shard}-{b}", offset, start, tokens)):
+                for c, v in zip(out, (doc, piece, f"{shard:010d}-{b}", offset, start, tokens)):
                     out[c].append(v)
                 offset += tokens
         return pa.table({c: pa.array(v, pa.string() if c == "bin_id" else pa.int64()) for c, v in out.items()})
@@ -159,21 +173,36 @@ def _shard(capacity: int):
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+def _ranked(docs: DataFrame) -> DataFrame:
+    """The number of each row in the order of docs' files and of the rows in them; docs with the columns of `located`."""
+    counts = docs.groupBy(FILE).count().withColumn("before", F.sum("count").over(W.orderBy(FILE).rowsBetween(W.unboundedPreceding, -1)))
+    return docs.join(counts.select(FILE, F.coalesce("before", F.lit(0)).alias("before")), FILE).withColumn("rank", F.col("before") + F.col(ROW))
+
+
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, in_order: bool = False) -> DataFrame:
     """A row for each piece of a document: doc_id, piece, bin_id, bin_offset, start (in the document), tokens.
 
-    A document without tokens (null or empty text) has no piece. Rows with the same doc_id, or none, are packed each on
-    its own. Other columns are ignored, whatever their names. No documents give no rows.
+    A document without tokens (null or empty text) has no piece. Rows with the same doc_id are packed each on its own, in
+    different bins; so are rows without doc_id, in any bins. Rows that are alike in id and length are interchangeable,
+    and the result is the same however docs are partitioned. With in_order, docs being written files, bins hold documents
+    that are near each other in the files' order, and bin_id begins with their place in it. Other columns are ignored,
+    whatever their names. No documents give no rows.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_tokens("text").alias("total"), F.xxhash64("doc_id", F.octet_length("text")).alias("h")).where("total > 0")
-    whole = F.floor(F.col("total") / F.lit(capacity)).cast("long")
-    full = items.where(F.col("total") >= capacity).select("doc_id", F.posexplode(F.sequence(F.lit(0), (whole - 1).cast("int"))).alias("piece", "_n"), "h")
-    full = full.select("doc_id", F.col("piece").cast("long").alias("piece"), F.concat(F.hex("h"), F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.col("piece"), F.lit("-"), F.monotonically_increasing_id()).alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"), (F.col("piece") * F.lit(capacity)).cast("long").alias("start"), F.lit(capacity).cast("long").alias("tokens"))
-    rest = items.withColumn("tokens", (F.col("total") % F.lit(capacity)).cast("long")).where("tokens > 0").select("doc_id", whole.alias("piece"), (F.col("total") - F.col("tokens")).alias("start"), "tokens", "h")
     shards = max(1, math.ceil(docs.select(F.lit(1)).count() / shard))
-    rest = rest.withColumn("shard", F.pmod("h", F.lit(shards))).drop("h")
+    if in_order:
+        docs = _ranked(located(docs))
+        at = F.floor(F.col("rank") / F.lit(shard))
+    else:
+        at = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(shards))
+    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_tokens("text").alias("total"), at.cast("long").alias("shard")).where("total > 0")
+    whole = F.floor(F.col("total") / F.lit(capacity)).cast("long")
+    again = F.row_number().over(W.partitionBy("shard", "doc_id", "total").orderBy(F.lit(0)))
+    full = items.where(F.col("total") >= capacity).withColumn("again", again).select("doc_id", "shard", "total", "again", F.posexplode(F.sequence(F.lit(0), (whole - 1).cast("int"))).alias("piece", "_n"))
+    name = F.concat(F.lpad(F.col("shard").cast("string"), 10, "0"), F.lit("-full-"), F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "total", "again", "piece"))
+    full = full.select("doc_id", F.col("piece").cast("long").alias("piece"), name.alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"), (F.col("piece") * F.lit(capacity)).cast("long").alias("start"), F.lit(capacity).cast("long").alias("tokens"))
+    rest = items.withColumn("tokens", (F.col("total") % F.lit(capacity)).cast("long")).where("tokens > 0").select("doc_id", whole.alias("piece"), (F.col("total") - F.col("tokens")).alias("start"), "tokens", "shard")
     packed = rest.groupBy("shard").applyInArrow(_shard(capacity), "doc_id long, piece long, bin_id string, bin_offset long, start long, tokens long")
     return packed.unionByName(full)
 
