@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, mix, slices, text_buffers
+from .common import cut, documents, new_dir, slices, text_buffers
 
-#: Bytes in an n-gram, hash functions, and bits in each filter as a power of two.
+#: Bytes in an n-gram, hash functions, and bits in each filter as a power of two, at least: filters grow with their n-grams.
 N, HASHES, BITS = 4, 3, 18
 #: Labelled documents of each language that the filters are built from at most: those with the lowest MD5 of doc_id.
 MAX_LABELLED = 1_500
-#: Share of a language's sampled documents that must have an n-gram, and n-grams in a filter at most.
-MIN_SHARE, MAX_GRAMS = 0.02, 20_000
+#: Share of a language's sampled documents that must have an n-gram.
+MIN_SHARE = 0.02
 #: A language must explain this share of the n-grams, or the document is undetermined ("und").
 MIN_SCORE = 0.3
 _SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -53,6 +53,9 @@ class Filters:
     @classmethod
     def build(cls, grams: dict[str, np.ndarray], bits: int = BITS) -> Filters:
         languages = sorted(grams)
+        most = max((len(g) for g in grams.values()), default=0)
+        while most * HASHES > 1 << (bits - 1):  # at most about 40 % of a filter's bits are set
+            bits += 1
         if len(languages) > 64:
             raise ValueError("a mask holds 64 languages")
         kind = next(t for t, most in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= most)
@@ -88,16 +91,27 @@ class Filters:
 
 
 def _document_grams(batches):
-    """(lang, grams, counts) of a partition: in how many documents each n-gram is."""
+    """(lang, documents, grams, counts) of a partition: in how many documents each n-gram is."""
     count: dict[str, Counter] = {}
+    number: Counter = Counter()
     for b in batches:
         langs = b.column(0).to_pylist()
         data, offsets = text_buffers(b.column(1))
+        number.update(langs)
         for lang, i, j in zip(langs, offsets[:-1], offsets[1:]):
             count.setdefault(lang, Counter()).update(np.unique(gram_codes(data[i:j])).tolist())
-    rows = [(lang, np.array(list(c), np.uint64).tobytes(), np.array(list(c.values()), np.int64).tobytes()) for lang, c in count.items()]
+    rows = [(lang, number[lang], np.array(list(c), np.uint64).tobytes(), np.array(list(c.values()), np.int64).tobytes()) for lang, c in count.items()]
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary(), pa.binary()))], names=["lang", "grams", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], names=["lang", "n", "grams", "counts"])
+
+
+def _common(key, table):
+    """The n-grams of a language that MIN_SHARE of its sampled documents have: one language's sample is bounded."""
+    n = sum(table["n"].to_pylist())
+    code = np.concatenate([np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()])
+    code, at = np.unique(code, return_inverse=True)
+    count = np.bincount(at, np.concatenate([np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()]), len(code))
+    return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "grams": pa.array([code[count >= max(1, MIN_SHARE * n)].tobytes()], pa.binary())})
 
 
 def train(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> Filters:
@@ -107,19 +121,13 @@ def train(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> Filters:
     # the lowest hashes of each range of doc_ids first, so that no task ranks a whole language
     part = W.partitionBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(256))).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
     chosen = named.withColumn("r", F.row_number().over(part)).where(F.col("r") <= max_labelled).withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_labelled).select("doc_id").distinct()
+    # max_labelled ids a language, and no more languages than a mask holds, fit in every executor; beyond that Spark decides
+    chosen = cut(chosen, new_dir(docs.sparkSession, "langid-sample"))
+    chosen = F.broadcast(chosen) if chosen.count() <= 64 * min(max_labelled, 10_000) else chosen
     sample = docs.select(docs["doc_id"], docs["lang"], docs["text"]).join(chosen, "doc_id").where("lang IS NOT NULL AND lang <> ''")
-    sizes = {r[0]: r[1] for r in sample.groupBy("lang").count().collect()}
-    rows = sample.select("lang", F.lower("text").alias("text")).mapInArrow(_document_grams, "lang string, grams binary, counts binary").collect()
-    grams = {}
-    for lang, n in sizes.items():
-        own = [r for r in rows if r[0] == lang]
-        code = np.concatenate([np.frombuffer(bytes(r[1]), np.uint64) for r in own])
-        if not len(code):
-            continue
-        code, at = np.unique(code, return_inverse=True)
-        count = np.bincount(at, np.concatenate([np.frombuffer(bytes(r[2]), np.int64) for r in own]))
-        best = np.argsort(-count, kind="stable")[:MAX_GRAMS]
-        grams[lang] = code[best[count[best] >= max(1, MIN_SHARE * n)]]
+    counts = sample.select("lang", F.lower("text").alias("text")).mapInArrow(_document_grams, "lang string, n long, grams binary, counts binary")
+    rows = counts.groupBy("lang").applyInArrow(_common, "lang string, grams binary").collect()
+    grams = {r[0]: np.frombuffer(bytes(r[1]), np.uint64) for r in rows if r[1]}
     return Filters.build(grams) if grams else Filters([], np.zeros(1, np.uint8), np.zeros(0))
 
 
