@@ -1,8 +1,10 @@
 """Secrets in texts, reported only after structural confirmation.
 
 Candidates are PEM blocks, dotted signed tokens and long runs of base64 or hex. Each is decoded; the bytes must then
-parse as what they seem to be: DER with nested lengths that add up and the shape of a key, an OpenSSH key container or
-public-key blob, a signed token whose header is JSON with an algorithm. A run of hex that decodes to a usual key length
+parse as what they seem to be: DER with nested lengths that add up and the shape of a key (in PKCS#8, of the key inside
+too), an OpenSSH private container, an OpenPGP secret-key packet whose checksum is right, whole cipher blocks under the
+headers of an encrypted PEM key, a signed token whose header is JSON with an algorithm. Public keys are no secrets; base64 that
+is wrapped into lines is found in PEM and OpenPGP blocks only. A run of hex that decodes to a usual key length
 has no inner structure; it is reported (kind opaque_key) only where the text assigns it to a name for secrets and its
 bytes are as varied as random ones.
 """
@@ -22,16 +24,15 @@ from pyspark.sql import functions as F
 
 from .common import documents, pieces
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40}?)-----([A-Za-z0-9+/=\s\\:,;.-]*?)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+?)-----((?:(?!-----)[A-Za-z0-9+/=\s\\:,;.()@-])*)-----END \1-----")
 _RUN = re.compile(r"[A-Za-z0-9+/_=.-]{24,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,}={0,2})\.([A-Za-z0-9_-]{2,}={0,2})\.([A-Za-z0-9_-]*={0,2})(?![A-Za-z0-9_-])")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])")
-_ASSIGN = re.compile(r"""(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)\w*["']?\s{0,4}(?:=>|:=|=|:)\s{0,4}["']?$""", re.IGNORECASE)
+_NAME = re.compile(r"(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)\w*$", re.IGNORECASE)
 #: Lengths in bytes of keys and tokens that are written in hex.
 KEY_BYTES = frozenset((16, 20, 24, 32, 48, 64))
 _OIDS = {bytes.fromhex("2a864886f70d010101"): "rsa", bytes.fromhex("2a8648ce3d0201"): "ec", bytes.fromhex("2b6570"): "ed25519", bytes.fromhex("2b656e"): "x25519", bytes.fromhex("2a8648ce380401"): "dsa"}
-_SSH = (b"ssh-rsa", b"ssh-ed25519", b"ssh-dss", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 
 
 def unbase64(text: str) -> bytes | None:
@@ -49,7 +50,7 @@ def der(data: bytes, at: int = 0, end: int | None = None, depth: int = 0) -> lis
     end = len(data) if end is None else end
     out = []
     while at < end:
-        if end - at < 2 or depth > 12:
+        if end - at < 2 or depth > 200:  # no key nests so deep; each level takes two bytes
             return None
         tag, n = data[at], data[at + 1]
         at += 2
@@ -89,30 +90,36 @@ def der_key(data: bytes) -> str | None:
     if len(seq) >= 2 and tags[:2] == [2, 4] and seq[0][1] == b"\1" and 16 <= len(seq[1][1]) <= 66 and all(t in (0xA0, 0xA1) for t in tags[2:]):
         return "ec_private_key"
     if len(seq) >= 3 and tags[:3] == [2, 0x30, 4] and seq[1][1] and seq[1][1][0][0] == 6:
-        kind = _OIDS.get(seq[1][1][0][1])
-        return f"pkcs8_{kind or 'other'}_private_key"
+        kind, inner = _OIDS.get(seq[1][1][0][1]), der(seq[2][1])
+        if not inner or len(inner) != 1:
+            return None
+        fits = {"rsa": lambda: der_key(seq[2][1]) == "rsa_private_key", "ec": lambda: der_key(seq[2][1]) == "ec_private_key", "dsa": lambda: inner[0][0] == 2}
+        fits |= dict.fromkeys(("ed25519", "x25519"), lambda: inner[0][0] == 4 and len(inner[0][1]) == 32)
+        return f"pkcs8_{kind or 'other'}_private_key" if kind is None or fits[kind]() else None
     if len(seq) == 2 and tags == [0x30, 4] and seq[0][1] and seq[0][1][0][0] == 6:
         return "pkcs8_encrypted_private_key"
     return None
 
 
 def openssh_key(data: bytes) -> str | None:
-    """An OpenSSH private container (magic and nested lengths) or a public-key blob."""
+    """An OpenSSH private container: magic and nested lengths that fill it."""
     magic = b"openssh-key-v1\0"
     if data.startswith(magic):
         at = len(magic)
         for _ in range(3):  # cipher, kdf, kdf options
             n = int.from_bytes(data[at : at + 4], "big")
             at += 4 + n
-            if n > 4096 or at + 4 > len(data):
+            if at + 4 > len(data):
                 return None
         count = int.from_bytes(data[at : at + 4], "big")
         at += 4
-        for _ in range(min(count, 16) + 1):
+        if not 1 <= count <= len(data) // 4:
+            return None
+        for _ in range(count + 1):
             if at + 4 > len(data):
                 return None
             at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return "openssh_private_key" if 1 <= count <= 16 and at == len(data) else None
+        return "openssh_private_key" if at == len(data) else None
     return None
 
 
@@ -137,12 +144,63 @@ def confirm_bytes(data: bytes | None) -> str | None:
         return der_key(data)
     if data.startswith(b"openssh-key-v1\0"):
         return openssh_key(data)
-    if data.startswith(b"-----BEGIN ") and b"PRIVATE KEY" in data[:64]:
+    if data.startswith(b"-----BEGIN ") and b"PRIVATE KEY" in data.split(b"\n", 1)[0]:
         found = scan(data.decode("latin-1"))
         return found[0][2] if found else None
     return None
 
 
+def _crc24(data: bytes) -> int:
+    crc = 0xB704CE
+    for byte in data:
+        crc ^= byte << 16
+        for _ in range(8):
+            crc = (crc << 1) ^ (0x1864CFB if crc & 0x800000 else 0)
+    return crc & 0xFFFFFF
+
+
+def pem_secret(label: str, body: str) -> str | None:
+    """What secret a PEM or OpenPGP block holds, its headers and lines taken apart."""
+    lines = [x.strip() for x in re.split(r"\\r?\\n|\n", body)]
+    headers, rest = [x for x in lines if ":" in x], [x for x in lines if x and ":" not in x]
+    if label == "PGP PRIVATE KEY BLOCK":
+        check = unbase64(rest.pop()[1:]) if rest and rest[-1].startswith("=") and len(rest[-1]) == 5 else None
+        data = unbase64("".join(rest))
+        if not data or check is not None and _crc24(data) != int.from_bytes(check, "big"):
+            return None
+        tag = data[0] & 0x3F if data[0] & 0x40 else (data[0] & 0x3C) >> 2
+        return "openpgp_private_key" if data[0] & 0x80 and tag == 5 and len(data) > 32 else None
+    if "PRIVATE KEY" not in label:
+        return None
+    data = unbase64("".join("".join(rest).split()))
+    if any(x.replace(" ", "") == "Proc-Type:4,ENCRYPTED" for x in headers):
+        cipher = next((x.split(":", 1)[1].strip() for x in headers if x.startswith("DEK-Info:")), "")
+        block = 16 if cipher.startswith("AES") else 8
+        return "encrypted_pem_private_key" if "," in cipher and data and len(data) % block == 0 else None
+    return confirm_bytes(data)
+
+
+def assigned(text: str, at: int) -> bool:
+    """Whether what begins at `at` is given to a name for secrets: name, operator and quotes, read backwards from there."""
+    k = at
+    if k and text[k - 1] in "\"'":
+        k -= 1
+    while k and text[k - 1].isspace():
+        k -= 1
+    op = next((o for o in ("=>", ":=", "=", ":") if text.endswith(o, 0, k)), None)
+    if op is None:
+        return False
+    k -= len(op)
+    while k and text[k - 1].isspace():
+        k -= 1
+    if k and text[k - 1] in "\"'":
+        k -= 1
+    end = k
+    while k and (text[k - 1].isalnum() or text[k - 1] in "_-"):
+        k -= 1
+    return _NAME.search(text[k:end]) is not None
+
+
 def varied(data: bytes) -> bool:
     """Whether bytes spread as random ones do: the entropy reaches 0.8 of what so many bytes can have."""
     n = len(data)
@@ -155,9 +213,8 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     found, inside = [], 0
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            body = "".join(x for x in re.split(r"\\n|\n", m.group(2)) if ":" not in x)
-            kind = confirm_bytes(unbase64(re.sub(r"\s+", "", body)))
-            if kind and "PRIVATE KEY" in m.group(1):
+            kind = pem_secret(m.group(1), m.group(2))
+            if kind:
                 found.append((m.start(), m.end(), kind))
     blocks = list(found)
     for run in _RUN.finditer(text):
@@ -176,7 +233,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
             data = bytes.fromhex(m.group()) if len(m.group()) % 2 == 0 else None
             kind = confirm_bytes(data)
             start = a + m.start()
-            if not kind and data and len(data) in KEY_BYTES and varied(data) and _ASSIGN.search(text, max(0, start - 64), start):
+            if not kind and data and len(data) in KEY_BYTES and varied(data) and assigned(text, start):
                 kind = "opaque_key"
             if kind and not any(x < m.end() and m.start() < y for x, y in taken):
                 found.append((start, a + m.end(), kind))
@@ -203,10 +260,12 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id, start, end (character positions) and kind of each confirmed secret.
 
     Null and empty texts hold none. Rows without doc_id are reported with a null id, repeated rows once each. Other
-    columns are ignored, whatever their names.
+    columns are ignored, whatever their names. Of kinds that overlap the structured one counts: PEM blocks, then signed
+    tokens, then hex, then base64.
     """
-    # texts without a long run of the alphabet hold no candidate and don't leave the JVM
-    some = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where(F.col("text").rlike(r"[A-Za-z0-9+/_=.-]{24}|-----BEGIN "))
+    # texts without a long run of the alphabet hold no candidate and don't leave the JVM; the pattern is tried at the start
+    # of runs alone
+    some = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where(F.col("text").rlike(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{24}|-----BEGIN "))
     return some.mapInArrow(_batches, _SCHEMA)
 
 
