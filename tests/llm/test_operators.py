@@ -213,6 +213,18 @@ def test_language_id(spark):
     got = {(r.doc_id, r.n_grams): r for r in langid.identify(odd(spark), filters).collect()}
     assert len(got) >= 7 and got[1, 0].language == "und" and got[2, 0].score == 0
     assert langid.identify(frame(spark, []), filters).count() == 0
+    # the decision against a plain version that looks n-grams up in sets: false positives apart, shares agree
+    train_sets = {l: set(codes[l].tolist()) for l in langs}
+    for _, t, _l in test[:20]:
+        data = np.frombuffer(t.encode(), np.uint8)
+        own = langid.gram_codes(data).tolist()
+        n, share = f.shares(data, np.array([0, len(data)]))
+        assert n[0] == len(own)
+        for k, l in enumerate(f.languages):
+            assert abs(share[0, k] - sum(x in train_sets[l] for x in own) / len(own)) < 0.06
+    # ties go to the first name: two languages of the same n-grams
+    twins = langid.Filters.build({"yy": codes["aa"], "xx": codes["aa"]})
+    assert {r.language for r in langid.identify(frame(spark, [(1, rows[0][1])]), twins).collect()} == {"xx"}
     none = langid.train(frame(spark, [(1, "a", None)], "doc_id long, text string, lang string"))
     assert [r.language for r in langid.identify(frame(spark, [(1, "some text")]), none).collect()] == ["und"]
 
@@ -556,6 +568,22 @@ def test_secrets(spark):
         f'token = "{hexed}"': "opaque_key",
     }
     bad = [b64(rsa[:-9]), b64(b"0" + bytes(60)), f"commit {hexed}", 'token = "' + "0" * 40 + '"', f"{url({'x': 1})}.{url({'sub': '1'})}.abc", "a" * 500, f"-----BEGIN CERTIFICATE-----\n{b64(rsa)[:40]}\n-----END CERTIFICATE-----", b64(tlv(0x30, integer(0) + integer(5)))]
+    p8 = lambda oid, inner: tlv(0x30, integer(0) + tlv(0x30, tlv(6, bytes.fromhex(oid))) + tlv(4, inner))
+    pgp = bytes([0x95, 0, 60]) + bytes(range(60))
+    crc = base64.b64encode(secret_scan._crc24(pgp).to_bytes(3, "big")).decode()
+    good |= {
+        f"k {b64(p8('2a864886f70d010101', rsa))} z": "pkcs8_rsa_private_key",
+        f"k {b64(p8('2b6570', tlv(4, bytes(32))))} z": "pkcs8_ed25519_private_key",
+        f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x\n\n{b64(pgp)}\n={crc}\n-----END PGP PRIVATE KEY BLOCK-----": "openpgp_private_key",
+        f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA\n\n{b64(bytes(range(64)))}\n-----END RSA PRIVATE KEY-----": "encrypted_pem_private_key",
+        f'api_key{" " * 90}= "{hexed}"': "opaque_key",
+    }
+    bad += [
+        b64(p8("2a864886f70d010101", bytes(40))),
+        b64(p8("2b6570", tlv(4, bytes(31)))),
+        f"-----BEGIN PGP PRIVATE KEY BLOCK-----\n\n{b64(pgp)}\n=AAAA\n-----END PGP PRIVATE KEY BLOCK-----",
+        f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA\n\n{b64(bytes(63))}\n-----END RSA PRIVATE KEY-----",
+    ]
     for t, k in good.items():
         assert [x[2] for x in secret_scan.scan(t)] == [k], t[:60]
     for t in bad:
@@ -592,6 +620,17 @@ def test_separator_scan(spark, tmp_path, block):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_separator_scan_small(spark, tmp_path):
+    """No files; a file of separators alone holds empty documents; URIs are taken as paths are."""
+    none = frame(spark, [], "file string, size long")
+    assert token_scan.count_tokens(spark, none).count() == 0
+    np.array([3, 3, 3], "<u2").tofile(tmp_path / "s.bin")
+    got = token_scan.count_tokens(spark, frame(spark, [(f"file://{tmp_path}/s.bin", 6)], "file string, size long"), eod=3, block=2).collect()
+    assert sorted(r.tokens for r in got) == [0, 0, 0]
+    with pytest.raises(ValueError):
+        token_scan.count_tokens(spark, frame(spark, [("x", 5)], "file string, size long"))
+
+
 def test_document_tokens(spark):
     import os
 

@@ -200,13 +200,12 @@ def spread(x: np.ndarray) -> np.ndarray:
     return mix(x.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 
 
-def listed(path: str) -> str:
-    return path.removeprefix("file://") if path.startswith("file://") else path
-
-
-def local_path(path: str) -> str:
-    """A path that Python's open() takes, of a shared folder that is mounted on every machine."""
-    p = path.removeprefix("file:")
-    while p.startswith("//"):
-        p = p[1:]
-    return os.path.normpath(p)
+def file_system(path: str):
+    """pyarrow's file system of a path or URI, and the path in it: any store that pyarrow knows, on every machine the same."""
+    import pyarrow.fs
+
+    if "://" not in path and not path.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), os.path.abspath(path)
+    if path.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(path)

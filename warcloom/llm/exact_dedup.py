@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, new_dir, remove
+from .common import cut, documents, file_system, new_dir, remove
 
 FILE, ROW = "__content_file", "__content_row"
 #: Bytes of fingerprints that a micro-batch takes at most.
@@ -93,12 +93,13 @@ def first_seen(spark: SparkSession, fingerprints: str, schema, at: str, batch_by
 
 def _fetch(key, table):
     """The texts of rows of one file, read from its row groups that hold them, some rows at a time."""
+    from urllib.parse import unquote
+
     import numpy as np
-    import pyarrow.fs
     import pyarrow.parquet as pq
 
     file = key[0].as_py()
-    fs, path = pyarrow.fs.FileSystem.from_uri(file.replace("file:/", "file:///", 1) if file.startswith("file:/") and not file.startswith("file://") else file)
+    fs, path = file_system(unquote(file))
     rows = np.unique(table[ROW].to_numpy())
     texts, found = [], []
     with fs.open_input_file(path) as f:

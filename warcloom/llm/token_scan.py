@@ -9,7 +9,6 @@ summaries stitches documents that cross boundaries and numbers all of them, so n
 from __future__ import annotations
 
 import base64
-import os
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, documents, local_path, new_dir, remove
+from .common import cut, documents, file_system, new_dir, remove
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,9 +33,9 @@ def _read_blocks(eod: int, width: int, block: int):
     def run(batches):
         for b in batches:
             for file, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                with open(file, "rb") as f:
-                    f.seek(k * block)
-                    ids = np.frombuffer(f.read(block), kind)
+                fs, path = file_system(file)
+                with fs.open_input_file(path) as f:
+                    ids = np.frombuffer(f.read_at(min(block, f.size() - k * block), k * block), kind)
                 at = np.flatnonzero(ids == eod)
                 first = int(at[0]) if len(at) else len(ids)
                 after = len(ids) - int(at[-1]) - 1 if len(at) else len(ids)
@@ -58,7 +57,7 @@ def _documents(batches):
 def count_tokens(spark: SparkSession, files: DataFrame, eod: int = EOD, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """(file, number, tokens): the tokens of the number-th document of each file, the separator not counted.
 
-    `files` has file (a path all executors can open) and size in bytes. Tokens after a file's last separator are a
+    `files` has file (a path or URI that all executors can open) and size in bytes. Tokens after a file's last separator are a
     document that was never closed and follow as one more row; a file that is empty or ends with its separator has none.
     Two separators in a row are a document of 0 tokens. Repeated files are counted once. A size that the width doesn't
     divide is an error.
@@ -71,8 +70,9 @@ def count_tokens(spark: SparkSession, files: DataFrame, eod: int = EOD, width: i
     parts = files.where("size > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / F.lit(block)).cast("long"))).alias("block"))
     at = new_dir(spark, "token-blocks")
     spread = parts.repartition("file", "block")
-    found = cut(spread.mapInArrow(_read_blocks(eod, width, block), _SUMMARY), at)
-    # the prefix scan: over one short row a block
+    read = cut(spread.mapInArrow(_read_blocks(eod, width, block), _SUMMARY), at)
+    # the prefix scan: over one short row a block, the lengths staying where they are
+    found = read.drop("lengths")
     w = W.partitionBy("file").orderBy("block")
     whole = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     # tokens carried into a block: the after of the last block with a separator, and all blocks since
@@ -80,7 +80,8 @@ def count_tokens(spark: SparkSession, files: DataFrame, eod: int = EOD, width: i
     reset = F.sum("after").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("after")
     last = F.max(F.when(F.col("n") > 0, F.struct("block", F.col("reset").alias("reset")))).over(whole)
     scanned = found.withColumn("reset", reset).withColumn("base", F.coalesce(F.sum("n").over(whole), F.lit(0))).withColumn("carried", total - F.coalesce(last["reset"], F.lit(0)))
-    docs = scanned.select("file", "n", "base", "before", "carried", "lengths").mapInArrow(_documents, "file string, number long, tokens long")
+    whole_blocks = scanned.where("n > 0").select("file", "block", "n", "base", "before", "carried").join(read.select("file", "block", "lengths"), ["file", "block"])
+    docs = whole_blocks.select("file", "n", "base", "before", "carried", "lengths").mapInArrow(_documents, "file string, number long, tokens long")
     end = scanned.groupBy("file").agg(F.max_by(F.struct(F.col("base") + F.col("n"), F.when(F.col("n") > 0, F.col("after")).otherwise(F.col("carried") + F.col("after"))), "block").alias("e"))
     tail = end.select("file", F.col("e.col1").alias("number"), F.col("e.col2").alias("tokens")).where("tokens > 0")
     return docs.unionByName(tail)
@@ -104,9 +105,10 @@ def _write_files(folder: str, vocabulary: str, eod: int, width: int):
         task = TaskContext.get()
         # a name of its own for each attempt: a lost or repeated attempt leaves a file that no row names
         file = f"{folder}/{task.partitionId():07d}-{task.taskAttemptId()}.bin"
-        os.makedirs(folder, exist_ok=True)
+        fs, path = file_system(file)
+        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
         number, size = 0, 0
-        with open(file, "wb") as f:
+        with fs.open_output_stream(path, buffer_size=1 << 20) as f:
             for b in batches:
                 ids = []
                 for text in b.column(1).to_pylist():
@@ -124,7 +126,7 @@ def _write_files(folder: str, vocabulary: str, eod: int, width: int):
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, eod: int = EOD, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """One flat file a task in the folder; returns (file, size) and the order of the documents (file, number, doc_id)."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(_write_files(local_path(folder), vocabulary, eod, width), "file string, number long, doc_id long, size long")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(_write_files(folder, vocabulary, eod, width), "file string, number long, doc_id long, size long")
     rows = cut(rows, folder + "-order", "zstd")
     return rows.where("number IS NULL").select("file", "size"), rows.where("number IS NOT NULL").select("file", "number", "doc_id")
 
