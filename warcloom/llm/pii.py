@@ -3,11 +3,12 @@
 Text is a sequence of words and single signs. A segmentation assigns each stretch of it either to no entity (one token
 at a time) or, as a whole span of at most LONGEST tokens, to an entity type. Features look at the whole span: its form,
 digits, check digit, limits and surroundings. Weights are trained here, by maximum likelihood over all segmentations
-(forward-backward), on sentences made from templates; decoding is Viterbi over boundaries and types together, with the
-last label kept in the state so that entities side by side have a weight.
+(forward-backward), on sentences made from templates; decoding is Viterbi over boundaries and types together. The type of
+the last segment is kept in the state: every pair of types side by side has a weight, which is trained with the others.
 
 Every entity holds a digit or '@', and a stretch without candidates adds nothing to the choice, so the dynamic program
-runs over windows around those characters; the result is that of the whole text.
+runs over windows around those characters. They reach to white space on both sides, however far that is, and to three
+words before, which hold the cues; so the result is that of the whole text.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ LONGEST = 24
 
 _TOKEN = re.compile(r"[^\W_]+|[^\s\w]|_")
 _ANCHOR = re.compile(r"[\d@]+")
+_SPACE = re.compile(r"\s")
 _FORMS = {
     "email": re.compile(r"[^\W_][\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
     "phone": re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}"),
@@ -49,20 +51,27 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def windows(text: str, reach: int = 24, most: int = 256):
-    """Stretches around digits and '@', widened to white space (by `most` characters at most), in order and apart from each other."""
+#: Blanks and signs between two digits of one entity number less than twice this.
+REACH = 24
+
+
+def windows(text: str, reach: int = REACH):
+    """Stretches around digits and '@', widened to white space, in order and apart from each other."""
     start = end = -1
     n = len(text)
     for m in _ANCHOR.finditer(text):
         if m.end() + reach <= end:
             continue
         a, b = max(0, m.start() - reach), min(n, m.end() + reach)
-        while a > 0 and m.start() - a < most and not text[a - 1].isspace():
-            a -= 1
-        while b < n and b - m.end() < most and not text[b].isspace():
-            b += 1
         if a <= end:
-            end = max(end, b)
+            a = start
+        else:
+            while a > 0 and not text[a - 1].isspace():
+                a -= 1
+        space = _SPACE.search(text, b)
+        b = space.start() if space else n
+        if a <= end:
+            start, end = min(a, start), max(end, b)
         else:
             if start >= 0:
                 yield start, end
@@ -71,6 +80,16 @@ def windows(text: str, reach: int = 24, most: int = 256):
         yield start, end
 
 
+def words_before(text: str, at: int, n: int = 3) -> int:
+    """Where the n words before a place begin."""
+    for _ in range(n):
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+        while at > 0 and not text[at - 1].isspace():
+            at -= 1
+    return at
+
+
 def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Token spans (i, j exclusive) that could be an entity: a digit or '@' inside, no gap but single blanks, sensible ends."""
     out = []
@@ -139,6 +158,7 @@ class Lattice:
 
     def __init__(self, text: str, start: int = 0, end: int | None = None):
         end = len(text) if end is None else end
+        start = words_before(text, start)
         self.tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
         words = [text[a:b].lower() for a, b in self.tokens]
         self.spans = candidates(text, self.tokens)
@@ -150,59 +170,74 @@ class Lattice:
         for k, (_i, j) in enumerate(self.spans):
             self.ending[j].append(k)
 
-    def viterbi(self, w: np.ndarray, side: float) -> list[tuple[int, int, int, float]]:
-        """(first token, last+1, type, score) of the best segmentation's entities. w: (types, features)."""
+    def viterbi(self, w: np.ndarray, side: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(first token, last+1, type, score) of the best segmentation's entities. w: (types, features); side: the weight of
+        each pair of types side by side. Of equal ones no entity counts, then the earlier and shorter span, then the first type."""
         s = self.x @ w.T
-        kind, best = (s.argmax(1), s.max(1)) if len(s) else ((), ())
-        n = len(self.tokens)
-        free, held = [0.0] + [-np.inf] * n, [-np.inf] * (n + 1)  # last label: none, an entity
-        back_free, back_held = [0] * (n + 1), [(-1, 0)] * (n + 1)
+        n, kinds = len(self.tokens), len(w)
+        free, held = [0.0] + [-np.inf] * n, np.full((n + 1, kinds), -np.inf)  # last label: none, an entity of each type
+        back_free, back_held = [-1] * (n + 1), {}
         for j in range(1, n + 1):
-            free[j], back_free[j] = max((free[j - 1], 0), (held[j - 1], 1))
+            free[j] = free[j - 1]
+            k = int(held[j - 1].argmax())
+            if held[j - 1, k] > free[j]:
+                free[j], back_free[j] = float(held[j - 1, k]), k
             for k in self.ending[j]:
                 i = self.spans[k][0]
-                v, b = max((free[i], 0), (held[i] + side, 1))
-                if v + best[k] > held[j]:
-                    held[j], back_held[j] = v + best[k], (k, b)
-        out, j, state = [], n, int(held[n] > free[n])
+                before = np.full(kinds, free[i])
+                from_ = np.full(kinds, -1)
+                if held[i].max() > -np.inf:
+                    reached = held[i][:, None] + side
+                    best = reached.argmax(0)
+                    top = reached[best, np.arange(kinds)]
+                    better = top > before
+                    before, from_ = np.where(better, top, before), np.where(better, best, from_)
+                v = before + s[k]
+                for y in np.flatnonzero(v > held[j]):
+                    held[j, y], back_held[j, int(y)] = v[y], (k, int(from_[y]))
+        out, j = [], n
+        state = int(held[n].argmax()) if held[n].max() > free[n] else -1
         while j > 0:
-            if state == 0:
+            if state < 0:
                 state, j = back_free[j], j - 1
             else:
-                k, state = back_held[j]
+                k, last = back_held[j, state]
                 i = self.spans[k][0]
-                out.append((i, j, int(kind[k]), float(best[k])))
-                j = i
+                out.append((i, j, state, float(s[k, state])))
+                j, state = i, last
         return out[::-1]
 
-    def expectations(self, w: np.ndarray, side: float) -> tuple[float, np.ndarray, float]:
-        """log Z, the expected (segment, type) counts, and the expected entities side by side."""
+    def expectations(self, w: np.ndarray, side: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """log Z, the expected (segment, type) counts, and the expected pairs of types side by side."""
         s = self.x @ w.T
-        top = s.max(1) if len(s) else np.zeros(0)
-        mass = top + np.log(np.exp(s - top[:, None]).sum(1)) if len(s) else top
-        n = len(self.tokens)
-        af, ah = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        n, kinds = len(self.tokens), len(w)
+        add = np.logaddexp.reduce
+        af, ah = np.full(n + 1, -np.inf), np.full((n + 1, kinds), -np.inf)
         af[0] = 0
+        into = np.full((len(self.spans), kinds), -np.inf)  # mass of all ways to a segment of a type, the segment not counted
         for j in range(1, n + 1):
-            af[j] = np.logaddexp(af[j - 1], ah[j - 1])
+            af[j] = np.logaddexp(af[j - 1], add(ah[j - 1]))
             for k in self.ending[j]:
                 i = self.spans[k][0]
-                ah[j] = np.logaddexp(ah[j], np.logaddexp(af[i], ah[i] + side) + mass[k])
-        z = np.logaddexp(af[n], ah[n])
-        bf, bh = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-        bf[n] = bh[n] = 0
-        p, pairs = np.zeros(len(self.spans)), 0.0
+                into[k] = np.logaddexp(af[i], add(ah[i][:, None] + side, axis=0))
+                ah[j] = np.logaddexp(ah[j], into[k] + s[k])
+        z = np.logaddexp(af[n], add(ah[n]))
+        bf, bh = np.full(n + 1, -np.inf), np.full((n + 1, kinds), -np.inf)
+        bf[n], bh[n] = 0, 0
+        p, pairs = np.zeros((len(self.spans), kinds)), np.zeros((kinds, kinds))
         starting: list[list[int]] = [[] for _ in range(n + 1)]
         for k, (i, _j) in enumerate(self.spans):
             starting[i].append(k)
         for i in range(n - 1, -1, -1):
-            bf[i] = bh[i] = bf[i + 1]
+            bf[i] = bf[i + 1]
+            bh[i] = bf[i + 1]
             for k in starting[i]:
-                v = mass[k] + bh[self.spans[k][1]]
-                bf[i], bh[i] = np.logaddexp(bf[i], v), np.logaddexp(bh[i], v + side)
-                p[k] = np.exp(np.logaddexp(af[i], ah[i] + side) + v - z)
-                pairs += np.exp(ah[i] + side + v - z)
-        return z, p[:, None] * np.exp(s - mass[:, None]) if len(s) else s, pairs
+                v = s[k] + bh[self.spans[k][1]]
+                bf[i] = np.logaddexp(bf[i], add(v))
+                bh[i] = np.logaddexp(bh[i], add(side + v, axis=1))
+                p[k] = np.exp(into[k] + v - z)
+                pairs += np.exp(ah[i][:, None] + side + v - z)
+        return z, p, pairs
 
 
 def made_sentences(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
@@ -239,6 +274,12 @@ def made_sentences(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int
                 s = entity[t]()
                 spans.append((len(text), len(text) + len(s), t))
                 text += s
+                while r.random() < 0.15:  # another one beside it
+                    t = r.choice(TYPES)
+                    s = entity[t]()
+                    text += " "
+                    spans.append((len(text), len(text) + len(s), t))
+                    text += s
             else:
                 text += r.choice(decoy)()
             text += r.choice([" ", " ", " ", ". ", ", ", "### ", "!! ", ")\n", '" ', " | "])
@@ -247,32 +288,41 @@ def made_sentences(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int
 
 
 @lru_cache(maxsize=2)
-def train(n: int = 300, epochs: int = 40, seed: int = 5, ridge: float = 2e-3) -> tuple[tuple[tuple[float, ...], ...], float]:
-    """Weights by gradient ascent (Adam) on the conditional log-likelihood of made sentences."""
+def train(n: int = 300, epochs: int = 40, seed: int = 5, ridge: float = 2e-3) -> tuple[tuple[tuple[float, ...], ...], tuple[tuple[float, ...], ...]]:
+    """Weights of features and of pairs of types, by gradient ascent (Adam) on the conditional log-likelihood of made sentences."""
     data = []
     for text, spans in made_sentences(n, seed):
         lat = Lattice(text)
         at = {(lat.tokens[i][0], lat.tokens[j - 1][1]): k for k, (i, j) in enumerate(lat.spans)}
-        gold = np.zeros((len(lat.spans), len(TYPES)))
+        gold, beside = np.zeros((len(lat.spans), len(TYPES))), np.zeros((len(TYPES), len(TYPES)))
+        if any((a, b) not in at for a, b, _ in spans):
+            raise ValueError(f"an entity that isn't a candidate: {text}")
+        for a, b, t in spans:
+            gold[at[a, b], TYPES.index(t)] = 1
+        ends = {lat.spans[at[a, b]][1]: t for a, b, t in spans}
         for a, b, t in spans:
-            if (a, b) in at:
-                gold[at[a, b], TYPES.index(t)] = 1
-        data.append((lat, gold))
-    w, side = np.zeros((len(TYPES), len(FEATURES))), -1.0
+            before = ends.get(lat.spans[at[a, b]][0])
+            if before:
+                beside[TYPES.index(before), TYPES.index(t)] += 1
+        data.append((lat, gold, beside))
+    size = (len(TYPES), len(FEATURES) + len(TYPES))  # the pairs' weights are the last columns
+    w = np.zeros(size)
     w[:, 0] = -2
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    m, v = np.zeros(size), np.zeros(size)
     for step in range(1, epochs + 1):
-        g = np.zeros_like(w)
-        for lat, gold in data:
+        g = np.zeros(size)
+        for lat, gold, beside in data:
             if len(lat.spans):
-                g += (gold - lat.expectations(w, side)[1]).T @ lat.x
+                _, p, pairs = lat.expectations(w[:, : len(FEATURES)], w[:, len(FEATURES) :])
+                g[:, : len(FEATURES)] += (gold - p).T @ lat.x
+                g[:, len(FEATURES) :] += beside - pairs
         g = g / len(data) - ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w += 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return tuple(map(tuple, w)), side
+    return tuple(map(tuple, w[:, : len(FEATURES)])), tuple(map(tuple, w[:, len(FEATURES) :]))
 
 
-def find(text: str, weights: np.ndarray, side: float) -> list[tuple[int, int, str, float]]:
+def find(text: str, weights: np.ndarray, side: np.ndarray) -> list[tuple[int, int, str, float]]:
     """(start, end, type, score) of the entities in text."""
     out = []
     for a, b in windows(text):
@@ -282,7 +332,7 @@ def find(text: str, weights: np.ndarray, side: float) -> list[tuple[int, int, st
     return out
 
 
-def _batches(weights: np.ndarray, side: float):
+def _batches(weights: np.ndarray, side: np.ndarray):
     def run(batches):
         for b in pieces(batches):
             rows = [(d, a, e, t, round(s, 4)) for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if text for a, e, t, s in find(text, weights, side)]
@@ -302,7 +352,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     weights, side = train()
     # texts without a digit or '@' hold no candidate and don't leave the JVM
     some = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where(F.col("text").rlike(r"[\p{Nd}@]"))
-    return some.mapInArrow(_batches(np.array(weights), side), "doc_id long, start long, end long, type string, score double")
+    return some.mapInArrow(_batches(np.array(weights), np.array(side)), "doc_id long, start long, end long, type string, score double")
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
