@@ -173,10 +173,11 @@ def _shard(capacity: int):
     return run
 
 
-def _ranked(docs: DataFrame) -> DataFrame:
-    """The number of each row in the order of docs' files and of the rows in them; docs with the columns of `located`."""
-    counts = docs.groupBy(FILE).count().withColumn("before", F.sum("count").over(W.orderBy(FILE).rowsBetween(W.unboundedPreceding, -1)))
-    return docs.join(counts.select(FILE, F.coalesce("before", F.lit(0)).alias("before")), FILE).withColumn("rank", F.col("before") + F.col(ROW))
+def _ranked(rows: DataFrame) -> DataFrame:
+    """rows (short ones, with the columns of `located`) with their number in the order of the files and of the rows in them."""
+    counts = rows.groupBy(FILE).agg((F.max(ROW) + 1).alias("held"))
+    before = F.coalesce(F.sum("held").over(W.orderBy(FILE).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(counts.select(FILE, before.alias("before")), FILE).withColumn("rank", F.col("before") + F.col(ROW)).drop(FILE, ROW, "before")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, in_order: bool = False) -> DataFrame:
@@ -191,12 +192,12 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     shards = max(1, math.ceil(docs.select(F.lit(1)).count() / shard))
+    own = [F.col("doc_id").cast("long").alias("doc_id"), n_tokens("text").alias("total")]
     if in_order:
-        docs = _ranked(located(docs))
-        at = F.floor(F.col("rank") / F.lit(shard))
+        items = _ranked(located(docs).select(*own, FILE, ROW)).select("doc_id", "total", F.floor(F.col("rank") / F.lit(shard)).cast("long").alias("shard"))
     else:
-        at = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(shards))
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_tokens("text").alias("total"), at.cast("long").alias("shard")).where("total > 0")
+        items = docs.select(*own, F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(shards)).cast("long").alias("shard"))
+    items = items.where("total > 0")
     whole = F.floor(F.col("total") / F.lit(capacity)).cast("long")
     again = F.row_number().over(W.partitionBy("shard", "doc_id", "total").orderBy(F.lit(0)))
     full = items.where(F.col("total") >= capacity).withColumn("again", again).select("doc_id", "shard", "total", "again", F.posexplode(F.sequence(F.lit(0), (whole - 1).cast("int"))).alias("piece", "_n"))
