@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -428,6 +429,48 @@ def test_ngram_classes(spark, t, n):
     assert {tuple(r) for r in got} == classes_of(links, [d for d, _ in rows]) and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("t,block", [(0.5, 500), (0.6, 500_000), (0.8, 2000)])
+def test_ngram_families(spark, t, block):
+    """Families large enough for dense products, in strips or whole, small ones beside them, and links between the two."""
+    rng = random.Random(block)
+    rows = [x for _, x in near_rows(rng, groups=3, copies=60, n=60) + near_rows(rng, groups=4, copies=5)]
+    rows += [" ".join(x.split()[: 9 * len(x.split()) // 10]) for x in rows[::7]] + rows[::11]
+    rows = list(enumerate(rows))
+    links = brute_pairs(rows, t, 3)
+    got = ngram_join.ngram_jaccard_join(frame(spark, rows), t, block=block).collect()
+    assert {(r.doc_a, r.doc_b, r.overlap) for r in got} == links and len(got) == len(links)
+    grams = lambda x: frozenset(tuple(w[k : k + 3]) for w in [x.lower().split()] for k in range(max(1, len(w) - 2)))
+    sets = [(d, grams(x)) for d, x in rows]
+    whole = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[i + 1 :] if len(x & y) / len(x | y) >= t - 1e-12]
+    found = ngram_join.near_duplicates(frame(spark, rows), t, block=block).collect()
+    assert {tuple(r) for r in found} == classes_of(whole, [d for d, _ in rows]) and len(found) == len(rows)
+
+
+def test_ngram_family_lists_no_pairs():
+    """A block of columns that 2000 documents have gives a row for each of them, not for each two (1 999 000)."""
+    docs, size = np.arange(2000), np.full(2000, 40, np.int32)
+    rows = [(np.full(2000, c, np.uint64), docs, size, size) for c in range(5)]
+    block = pa.RecordBatch.from_arrays([pa.array([x[k].tobytes() for x in rows], pa.binary()) for k in range(4)], names=["hashes", "docs", "sizes", "rest"])
+    got = [r for b in ngram_join._partial(0.6)((pa.scalar(0),), iter([block])) for r in b.to_pylist()]
+    assert sorted((r["doc_a"], r["doc_b"]) for r in got) == [(0, k) for k in range(1, 2000)] and all(r["overlap"] == 0 for r in got)
+
+
+def test_ngram_dense_columns_in_parts(monkeypatch):
+    """The overlaps of a strip are the same whatever the height and width of its matrices."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.r_[np.flatnonzero(rng.random(300) < 0.9), 1000 + rng.integers(0, 900, rng.integers(0, 60))]).astype(np.uint64) for _ in range(70)]
+    table = pa.table({"doc_id": np.arange(70), "size": [len(x) for x in sets], "copies": np.full(70, 1), "side": np.repeat([2, 5], 35).astype(np.int32), "columns": [x.tobytes() for x in sets]})
+    jaccard = {(a, b): len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a in range(70) for b in range(a + 1, 70)}
+    want = {p for p, j in jaccard.items() if j >= 0.7}
+    for tall, wide in ((256, 8192), (8, 50)):
+        monkeypatch.setattr(ngram_join, "TALL", tall)
+        monkeypatch.setattr(ngram_join, "WIDE", wide)
+        for square in (True, False):
+            got = ngram_join._dense(0.7, True, square, table).to_pylist()
+            assert {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in got} == {(a, b): jaccard[a, b] for a, b in want if square or a < 35 <= b}
+            assert len(got) == len({(r["doc_a"], r["doc_b"]) for r in got}) and 0 < len(want) < len(jaccard)
+
+
 def test_ngram_classes_odd(spark):
     got = {tuple(r) for r in ngram_join.near_duplicates(odd(spark)).collect()}
     assert got == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 1), (6, 5, 1), (7, 7, 0)}

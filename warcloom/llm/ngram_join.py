@@ -14,8 +14,11 @@ bits and those that number the blocks, which grow with the input).
    pair with t*|x| <= |y|, and the overlaps of the blocks are added up. What is left uncounted of a pair lies beyond the
    last of these columns of one of the two, which bounds it; pairs whose count and bound stay below
    t/(1+t)*(|x|+|y|) are discarded.
-4. Second product. The pairs left are laid out in blocks of rows; a block gets each set that it needs once, accumulates
-   the whole overlaps and keeps the pairs above the bound.
+   A column of HEAVY documents or more lists no pairs, which would be as many as its square: its documents belong to one
+   family, as do those of heavy columns that share a document. Any two of a family may be partners.
+4. Second product. The pairs left, of different families, are laid out in blocks of rows; a block gets each set that it
+   needs once, accumulates the whole overlaps and keeps the pairs above the bound. A family is divided into strips; any
+   two of them are a block, whose overlaps are dense products of 0/1 matrices over the columns that both have.
 
 A block of rows either lists its pairs (ngram_jaccard_join) or only counts the links of each document and joins its
 documents into classes (ngram_classes): then no more rows leave it than it has documents.
@@ -41,6 +44,10 @@ THRESHOLD = 0.6
 BLOCK, FLUSH = 500_000, 1_000_000
 #: Prefix tokens that a block of them holds about: the fewer blocks, the fewer repeats of a candidate pair.
 TOKENS = 1_000_000
+#: Documents from which a prefix column makes a family. Columns below it list less than HEAVY/2 pairs a token.
+HEAVY = 16
+#: Rows and columns of a dense 0/1 matrix.
+TALL, WIDE = 256, 8192
 #: Of the 32 bits that name a column in its block, those of its number; the rest tell which columns belong together.
 NUMBER_BITS = 21
 
@@ -272,7 +279,8 @@ def _tokens(first: np.ndarray, parts_of: np.ndarray):
 
 def _partial(t: float):
     """A block of A*A' over prefix columns: the pairs that their sizes allow with the overlap found in this block, and the
-    most that can lie beyond both prefixes' common part."""
+    overlap that they need there. Heavy columns give a row of overlap 0 for each document of a family but its lowest; pairs
+    within a family aren't listed."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
@@ -282,14 +290,20 @@ def _partial(t: float):
         size[d], rest[d] = s, r
         order = np.lexsort((size[d], h))
         h, d = h[order], d[order]
-        s = size[d]
-        n = len(h)
         at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        per = np.diff(np.r_[at, len(h)])
+        heavy = np.repeat(per >= HEAVY, per)
+        family = joined(len(ids), np.repeat(d[at], per)[heavy], d[heavy])
+        member = np.flatnonzero(family != np.arange(len(ids)))
+        if len(member):
+            none = pa.array(np.zeros(len(member), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[family[member]]), pa.array(ids[member]), none, none], names=["doc_a", "doc_b", "overlap", "need"])
+        column, d = np.repeat(np.arange(len(at)), per)[~heavy], d[~heavy]
+        s = size[d]
+        n = len(d)
         # by size within a column: partners of k are those after it with t*size <= size_k
-        limit = np.floor(s / t + 1e-9)
-        upto = np.empty(n, np.int64)
-        for i, j in zip(at.tolist(), np.r_[at[1:], n].tolist()):
-            upto[i:j] = i + np.searchsorted(s[i:j], limit[i:j], side="right")
+        limit = np.minimum(np.floor(s / t + 1e-9), 2**31 - 1).astype(np.int64)
+        upto = np.searchsorted((column << 32) + s, (column << 32) + limit, side="right")
         count = upto - np.arange(n) - 1
         whole = np.cumsum(np.maximum(count, 0))
         held, n_held = [], 0
@@ -307,7 +321,10 @@ def _partial(t: float):
             c = np.maximum(count[i:j], 0)
             left = np.repeat(np.arange(i, j), c)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
-            held.append(_added([np.minimum(d[left], d[right]) * len(ids) + np.maximum(d[left], d[right])], [np.ones(len(left), np.int64)]))
+            left, right = d[left], d[right]
+            apart = family[left] != family[right]
+            left, right = left[apart], right[apart]
+            held.append(_added([np.minimum(left, right) * len(ids) + np.maximum(left, right)], [np.ones(len(left), np.int64)]))
             n_held += len(held[-1][0])
             if n_held > 2 * BLOCK:
                 held = [_added([x for x, _ in held], [x for _, x in held])]
@@ -318,7 +335,7 @@ def _partial(t: float):
             i = j
         if n_held:
             yield told()
-        del h, d, s, r, held, upto, count, whole
+        del h, d, s, r, column, limit, held, upto, count, whole
         trim()
 
     return run
@@ -331,11 +348,78 @@ def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return found, (np.add.reduceat(n[order], at[:-1]) if len(found) else n)
 
 
+def _dense(t: float, listed: bool, square: bool, sets: pa.Table) -> pa.Table:
+    """Two strips of a family, or one with itself (square): what _products returns, of all pairs of a row of each."""
+    ids, sizes, copies, side = (sets[c].to_numpy() for c in ("doc_id", "size", "copies", "side"))
+    order = np.lexsort((ids, sizes, side))
+    blobs = sets["columns"].to_pylist()
+    grams = [np.frombuffer(blobs[k], np.uint64) for k in order]
+    ids, sizes, copies, side = ids[order], sizes[order], copies[order], side[order]
+    start = np.r_[0, np.cumsum([len(g) for g in grams])]
+    _, code = np.unique(np.concatenate(grams), return_inverse=True)
+    row = np.repeat(np.arange(len(ids)), np.diff(start))
+    del grams, blobs
+    cut_at = len(ids) if square else int(np.searchsorted(side, side[-1]))
+    first = [(i, min(i + TALL, cut_at)) for i in range(0, cut_at, TALL)]
+    second = first if square else [(i, min(i + TALL, len(ids))) for i in range(cut_at, len(ids), TALL)]
+    has = {x: np.unique(code[start[x[0]] : start[x[1]]]) for x in {*first, *second}}
+    number = np.full(len(code), -1, np.int64)
+    links, root, found = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
+
+    def matrix(x, low, n):
+        c = number[code[start[x[0]] : start[x[1]]]] - low
+        there = (c >= 0) & (c < n)
+        m = np.zeros((x[1] - x[0], n), np.float32)
+        m[row[start[x[0]] : start[x[1]]][there] - x[0], c[there]] = 1
+        return m
+
+    for x in first:
+        mark = np.zeros(len(code), bool)
+        mark[has[x]] = True
+        for y in second:
+            # by size within a strip: the first row of each is its least
+            most = max(sizes[x[0]], sizes[y[0]])
+            if square and y < x or most * t > min(sizes[x[1] - 1], sizes[y[1] - 1]) + 1e-9:
+                continue
+            common = has[y][mark[has[y]]]
+            if len(common) < least(most, t):
+                continue
+            number[common] = np.arange(len(common))
+            overlap = np.zeros((x[1] - x[0], y[1] - y[0]))
+            for low in range(0, len(common), WIDE):
+                n = min(WIDE, len(common) - low)
+                overlap += matrix(x, low, n) @ matrix(y, low, n).T
+            number[common] = -1
+            both = sizes[x[0] : x[1], None] + sizes[None, y[0] : y[1]]
+            keep = overlap * (1 + t) >= t * both - 1e-9
+            if x == y:
+                keep = np.triu(keep, 1)
+            a, b = np.nonzero(keep)
+            if listed:
+                found.append((ids[a + x[0]], ids[b + y[0]], overlap[a, b].astype(np.int64), both[a, b]))
+                continue
+            links[x[0] : x[1]] += keep @ copies[y[0] : y[1]]
+            links[y[0] : y[1]] += copies[x[0] : x[1]] @ keep
+            a, b = a + x[0], b + y[0]
+            new = root[a] != root[b]
+            if new.any():
+                root = joined(len(ids), np.r_[np.arange(len(ids)), a[new]], np.r_[root, b[new]])
+    del code, row, number
+    trim()
+    if listed:
+        a, b, overlap, both = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(4))
+        return pa.table({"doc_a": np.minimum(a, b), "doc_b": np.maximum(a, b), "overlap": overlap, "jaccard": overlap / (both - overlap)})
+    linked = links > 0
+    return pa.table({"doc_id": ids[linked], "root": ids[root[linked]], "links": links[linked]})
+
+
 def _products(t: float, listed: bool):
     """A block of pairs with the sets that it needs: the overlaps, and of those the ones above the bound. Listed, or as
     links counted for each document (`links`: other documents, their copies included) and a forest of their classes."""
 
     def run(key, pairs, sets):
+        if key[1].as_py() >= 0:
+            return _dense(t, listed, key[1] == key[2], sets)
         ids, sizes, copies = (sets[c].to_numpy() for c in ("doc_id", "size", "copies"))
         order = np.argsort(ids)
         blobs = sets["columns"].to_pylist()
@@ -399,15 +483,26 @@ def _multiplied(first: DataFrame, threshold: float, block: int, blocks: int, at:
     t = threshold
     counts = first.select("columns", "n_prefix").mapInArrow(_prefix_counts, "near long, n long").groupBy("near").agg(F.sum("n").alias("n")).collect()
     parts = first.select("doc_id", "size", "columns", "n_prefix").mapInArrow(_tokens(*_layout([tuple(r) for r in counts])), _TOKENS).groupBy("block").applyInArrow(_partial(t), "doc_a long, doc_b long, overlap int, need int")
-    pairs = parts.groupBy("doc_a", "doc_b").agg(F.sum("overlap").alias("overlap"), F.first("need").alias("need")).where("overlap >= need").select("doc_a", "doc_b")
+    parts = cut(parts, f"{at}/parts")
+    family = groups(parts.where("overlap = 0").select("doc_a", "doc_b"))
+    pairs = parts.where("overlap > 0").groupBy("doc_a", "doc_b").agg(F.sum("overlap").alias("overlap"), F.first("need").alias("need")).where("overlap >= need").select("doc_a", "doc_b")
+    # families of several blocks of columns are one: it has the pairs of its documents
+    of = [family.select(F.col("doc_id").alias(f"doc_{x}"), F.col("group").alias(f"family_{x}")) for x in "ab"]
+    pairs = pairs.join(of[0], "doc_a", "left").join(of[1], "doc_b", "left").where("NOT family_a <=> family_b OR family_a IS NULL").select("doc_a", "doc_b")
     pairs = cut(pairs.join(first.select(F.col("doc_id").alias("doc_a"), "anchor"), "doc_a"), f"{at}/pairs")
     # A block of rows: documents with the same least n-gram are near each other; large ones are divided in both directions.
     per = pairs.groupBy("anchor").agg(F.ceil(F.sqrt(F.count("*") / float(block))).cast("long").alias("parts"))
     pairs = pairs.join(per, "anchor").select("doc_a", "doc_b", F.xxhash64(F.pmod(F.xxhash64("anchor"), F.lit(64 * blocks)), F.pmod(F.xxhash64("doc_a"), "parts"), F.pmod(F.xxhash64("doc_b"), "parts")).alias("tile"))
     pairs = cut(pairs, f"{at}/tiles")
-    needed = pairs.select(F.col("tile").alias("at"), F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
-    sets = needed.join(first.select("doc_id", "size", "copies", "columns"), "doc_id")
-    return pairs.groupBy("tile").cogroup(sets.groupBy("at")).applyInArrow(_products(t, listed), _PAIRS if listed else _LINKS)
+    needed = pairs.select(F.col("tile").alias("at"), F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct().select("doc_id", "at", F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("side"))
+    # strips of about as many incidences as a block; every two of a family's are one, and so is each with itself
+    strips = family.join(first.select("doc_id", "n_shared"), "doc_id").groupBy("group").agg(F.ceil(F.sum("n_shared") / float(block)).cast("int").alias("strips"))
+    side = family.join(strips, "group").withColumn("side", F.pmod(F.xxhash64("doc_id"), "strips").cast("int"))
+    laid = side.select("doc_id", "group", "side", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("other"))
+    laid = laid.select("doc_id", F.col("group").alias("at"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
+    sets = needed.unionByName(laid).join(first.select("doc_id", "size", "copies", "columns"), "doc_id")
+    pairs = pairs.withColumns({"i": F.lit(-1), "j": F.lit(-1)})
+    return pairs.groupBy("tile", "i", "j").cogroup(sets.groupBy("at", "i", "j")).applyInArrow(_products(t, listed), _PAIRS if listed else _LINKS)
 
 
 def _prepared(docs: DataFrame, threshold: float) -> DataFrame:
