@@ -455,6 +455,30 @@ def test_ngram_family_lists_no_pairs():
     assert sorted((r["doc_a"], r["doc_b"]) for r in got) == [(0, k) for k in range(1, 2000)] and all(r["overlap"] == 0 for r in got)
 
 
+def test_pipeline_near_dedup_of_a_family(spark, monkeypatch):
+    """One row of a family stays, and no table of the stage has a row for each pair of it (44 850)."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    base = text(rng, 60).split()
+    rows = []
+    for k in range(300):
+        w = list(base)
+        w[rng.randrange(60)] = f"edit{k}"
+        rows.append((k, " ".join(w), "en", "src", 0))
+    rows += [(1000 + k, text(rng, 40), "en", "src", 0) for k in range(20)]
+    written, plain = [], ngram_join.cut
+
+    def counted(df, path, codec="snappy"):
+        out = plain(df, path, codec)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut", counted)
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows, DOCS), "").collect()}
+    assert got == {0, *range(1000, 1020)} and max(written) <= 2 * 300
+
+
 def test_ngram_dense_columns_in_parts(monkeypatch):
     """The overlaps of a strip are the same whatever the height and width of its matrices."""
     rng = np.random.default_rng(3)
