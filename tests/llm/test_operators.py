@@ -479,6 +479,51 @@ def test_pipeline_near_dedup_of_a_family(spark, monkeypatch):
     assert got == {0, *range(1000, 1020)} and max(written) <= 2 * 300
 
 
+def test_pipeline_near_dedup_keeps_families_apart(spark, monkeypatch):
+    """Three families of 300 share a passage that 900 documents have: their own columns, of 300, come before it in their
+    prefixes, so they don't become one family, whose strips would be multiplied with each other. Groups take one table."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    passage, rows = text(rng, 20), []
+    for f in range(3):
+        base = text(rng, 60).split()
+        for k in range(300):
+            w = list(base)
+            w[rng.randrange(60)] = f"edit{f}x{k}"
+            rows.append((1000 * f + k, " ".join(w) + " " + passage, "en", "src", 0))
+    found, written, plain, write = [], [], ngram_join.groups, ngram_join.cut
+
+    def kept(pairs):
+        before = len(written)
+        found.append((plain(pairs), len(written) - before))
+        return found[-1][0]
+
+    def counted(df, path, codec="snappy"):
+        written.append(path)
+        return write(df, path, codec)
+
+    monkeypatch.setattr(ngram_join, "groups", kept)
+    monkeypatch.setattr(ngram_join, "cut", counted)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows, DOCS), "").collect())
+    assert got == [0, 1000, 2000]
+    assert sorted(r["count"] for r in found[0][0].groupBy("group").count().collect()) == [300, 300, 300]
+    assert max(n for _, n in found) <= 1
+
+
+def test_ngram_column_order():
+    """Document counts keep their order in a byte, and numbers of documents their values in steps of 1, 2 and 4 bytes."""
+    n = np.r_[np.arange(1, 2000), 2000 * 2 ** np.arange(1, 12)]
+    code = ngram_join._frequency(n).astype(int)
+    assert (np.diff(code) >= 0).all() and (code[:127] == n[:127]).all() and (np.diff(code[1998:]) == 8).all()
+    rng = np.random.default_rng(4)
+    for top in (50, 3000, 70_000, 1 << 24):
+        parts = [np.sort(rng.integers(0, rng.choice([50, top]), k)) for k in rng.integers(1, 20, 30)]
+        sizes = [len(x) for x in parts]
+        numbers, per = ngram_join._unstep(ngram_join._steps(np.concatenate(parts), np.r_[0, np.cumsum(sizes)]))
+        assert per.tolist() == sizes and (numbers == np.concatenate(parts)).all()
+
+
 def test_ngram_dense_columns_in_parts(monkeypatch):
     """The overlaps of a strip are the same whatever the height and width of its matrices."""
     rng = np.random.default_rng(3)
@@ -515,6 +560,19 @@ def test_groups(spark):
     assert got == {1: 1, 9: 1, 8: 1, 7: 1, 6: 1, 5: 1, 2: 2, 3: 2, 20: 20, 30: 20}
 
 
+def test_groups_in_rounds(spark, monkeypatch):
+    """The same groups, whether one task finds them or rounds do."""
+    rng = random.Random(8)
+    rows = [(k, k + 1) for k in range(100, 140)] + [(rng.randrange(400), rng.randrange(400)) for _ in range(150)]
+    rows = [(min(p), max(p)) for p in rows if p[0] != p[1]]
+    pairs = frame(spark, rows, "doc_a long, doc_b long")
+    at_once = {tuple(r) for r in ngram_join.groups(pairs).collect()}
+    assert ngram_join.groups(pairs.limit(0)).count() == 0
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 0)
+    want = {d: g for d, g, _ in classes_of(rows, {x for p in rows for x in p})}
+    assert {tuple(r) for r in ngram_join.groups(pairs).collect()} == at_once == set(want.items())
+
+
 # ---- 7
 
 

@@ -142,21 +142,31 @@ def gram_hashes(doc: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray,
         return doc, word
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     count = np.diff(np.r_[first, len(doc)])
-    room = np.repeat(first + count, count) - np.arange(len(doc))  # words from here to the document's end
-    left = np.repeat(count, count)
-    keep = (room >= n) | ((left < n) & (room == left))
-    at = np.flatnonzero(keep)
+    grams = np.maximum(count - n + 1, 1)
+    at = np.arange(int(grams.sum())) + np.repeat(first - np.cumsum(grams) + grams, grams)
     h = np.full(len(at), 0x2545F4914F6CDD1D, np.uint64)
+    short = np.repeat(count, grams) if (count < n).any() else None
     for k in range(n):
-        there = room[at] > k
-        h = np.where(there, mix(h * np.uint64(0x9E3779B97F4A7C15) + word[np.minimum(at + k, len(word) - 1)]), h)
+        fresh = mix(h * np.uint64(0x9E3779B97F4A7C15) + (word[at + k] if short is None else word[np.minimum(at + k, len(word) - 1)]))
+        h = fresh if short is None else np.where(short > k, fresh, h)
     d = doc[at]
-    order = np.lexsort((h, d))
+    order = order_of(h, d)
     d, h = d[order], h[order]
     fresh = np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1])]
     return d[fresh], h[fresh]
 
 
+def order_of(key: np.ndarray, *groups: np.ndarray) -> np.ndarray:
+    """An order by the last of the groups, then by those before it, then by key. Groups are whole numbers from 0, and short
+    ones are sorted by radix; rows that are equal in all have no order of their own."""
+    order = np.argsort(key)
+    for g in groups:
+        g = g[order]
+        most = int(g.max()) if len(g) else 0
+        order = order[np.argsort(g.astype(np.uint8) if most < 256 else g.astype(np.uint16) if most < 65_536 else g, kind="stable")]
+    return order
+
+
 def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The lowest member of each of 0..n-1's connected component under the edges (a, b)."""
     root = np.arange(n)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, gram_hashes, joined, mix, new_dir, one_row_per_id, remove, slices, text_buffers, trim, word_hashes
+from .common import cut, documents, gram_hashes, joined, mix, new_dir, one_row_per_id, order_of, remove, slices, text_buffers, trim, word_hashes
 
 N_GRAM = 3
 THRESHOLD = 0.6
@@ -50,6 +50,8 @@ HEAVY = 16
 TALL, WIDE = 256, 8192
 #: Of the 32 bits that name a column in its block, those of its number; the rest tell which columns belong together.
 NUMBER_BITS = 21
+#: Pairs up to which one task finds their connected groups.
+AT_ONCE = 1_000_000
 
 _COLS = "block long, flush long, docs binary, counts binary, hashes binary"
 _SHARED = "flush long, block long, docs binary, counts binary, values binary, dfs binary"
@@ -78,16 +80,49 @@ def _split(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return order, k[at], np.r_[at, len(k)]
 
 
-def _steps(index: np.ndarray) -> bytes:
-    """Rising numbers as differences, a byte each where they fit, else two or four."""
-    d = np.diff(index, prepend=0)
-    most = int(d.max()) if len(d) else 0
-    kind = np.uint8 if most < 256 else np.uint16 if most < 65_536 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + d.astype(kind).tobytes()
+def _blobs(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes between bounds, each a binary value."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _unstep(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64))
+def _steps(index: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Numbers, rising from each bound to the next, as differences: for each two bounds the bytes that a difference takes (1, 2 or 4), then those."""
+    d = np.diff(index, prepend=0)
+    d[at[:-1]] = index[at[:-1]]
+    most, n = np.maximum.reduceat(d, at[:-1]), np.diff(at)
+    width = np.where(most < 256, 1, np.where(most < 65_536, 2, 4))
+    bounds = np.r_[0, np.cumsum(1 + n * width)]
+    out = np.zeros(bounds[-1], np.uint8)
+    out[bounds[:-1]] = width
+    w = np.repeat(width, n)
+    pos = np.repeat(bounds[:-1] + 1, n) + (np.arange(len(d)) - np.repeat(at[:-1], n)) * w
+    for k in range(int(width.max())):
+        here = slice(None) if k == 0 else np.flatnonzero(w > k)
+        out[pos[here] + k] = (d[here] >> (8 * k)) & 255
+    return _blobs(out, bounds)
+
+
+def _unstep(column) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of _steps, of all values one after another, and how many each has."""
+    data, bounds = text_buffers(column)
+    if len(bounds) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    width = data[bounds[:-1]].astype(np.int64)
+    n = (np.diff(bounds) - 1) // width
+    first = np.cumsum(n) - n
+    w = np.repeat(width, n)
+    pos = np.repeat(bounds[:-1] + 1, n) + (np.arange(len(w)) - np.repeat(first, n)) * w
+    d = data[pos].astype(np.int64)
+    for k in range(1, int(width.max())):
+        here = np.flatnonzero(w > k)
+        d[here] |= data[pos[here] + k].astype(np.int64) << (8 * k)
+    total = np.cumsum(d)
+    return total - np.repeat(total[first] - d[first], n), n
+
+
+def _frequency(count: np.ndarray) -> np.ndarray:
+    """Document counts in a byte, in their order: as they are up to 127, then by eighths of a doubling (to 7.7 million)."""
+    return np.where(count < 128, count, np.minimum(128 + np.floor(8 * np.log2(np.maximum(count, 128) / 128)), 255)).astype(np.uint8)
 
 
 def _incidence(n: int, blocks: int):
@@ -102,16 +137,16 @@ def _incidence(n: int, blocks: int):
         sums, xors = (np.concatenate([s[k] for _, _, s in docs]) for k in (0, 1))
         doc = np.repeat(np.arange(len(ids)), sizes)
         h = np.concatenate(grams)
-        order, keys, at = _split(mix(h) % np.uint64(blocks), blocks)
-        h = h.view(np.uint8).reshape(-1, 8)[:, :5]
-        cuts = [order[i:j] for i, j in zip(at[:-1], at[1:])]
+        key_of = mix(h) % np.uint64(blocks)
+        order, keys, at = _split(key_of.astype(np.uint16) if blocks < 65_536 else key_of, blocks)
+        h = h.view(np.uint8).reshape(-1, 8)[order, :5]
         last = np.stack([sums, xors], 1).tobytes()
         return pa.RecordBatch.from_arrays([
             pa.array([*keys.astype(np.int64).tolist(), -1 - key], pa.int64()),
-            pa.array([key] * (len(cuts) + 1), pa.int64()),
-            pa.array([*(_steps(doc[o]) for o in cuts), ids.tobytes()], pa.binary()),
-            pa.array([*(b"" for _ in cuts), sizes.astype(np.int64).tobytes()], pa.binary()),
-            pa.array([*(h[o].tobytes() for o in cuts), last], pa.binary()),
+            pa.array(np.full(len(keys) + 1, key), pa.int64()),
+            pa.concat_arrays([_steps(doc[order], at), pa.array([ids.tobytes()], pa.binary())]),
+            pa.array([*(b"" for _ in keys), sizes.astype(np.int64).tobytes()], pa.binary()),
+            pa.concat_arrays([_blobs(h, at * 5), pa.array([last], pa.binary())]),
         ], names=["block", "flush", "docs", "counts", "hashes"])
 
     def run(batches):
@@ -147,9 +182,8 @@ def _columns(key, table):
     if block < 0:
         none = pa.array([b""] * len(table), pa.binary())
         return pa.table({"flush": table["flush"], "block": table["block"], "docs": table["docs"], "counts": table["counts"], "values": table["hashes"], "dfs": none})
-    docs = [_unstep(x) for x in table["docs"].to_pylist()]
-    flush = np.repeat(table["flush"].to_numpy(), [len(d) for d in docs])
-    doc = np.concatenate(docs)
+    doc, n = _unstep(table["docs"])
+    flush = np.repeat(table["flush"].to_numpy(), n)
     h = np.zeros((len(doc), 8), np.uint8)
     h[:, :5] = _join(table["hashes"], np.uint8).reshape(-1, 5)
     h = h.view(np.uint64)[:, 0]
@@ -165,20 +199,20 @@ def _columns(key, table):
     number |= np.repeat(near.astype(np.uint32) << np.uint32(NUMBER_BITS), count)
     df = np.repeat(count, count)
     keep = df > 1
-    doc, flush, number, df = doc[keep], flush[keep], number[keep], np.minimum(df[keep], 255).astype(np.uint8)
-    order = np.lexsort((doc, flush))
+    doc, flush, number, df = doc[keep], flush[keep], number[keep], _frequency(df[keep])
+    order = np.argsort((flush << 24) + doc)
     doc, flush, number, df = doc[order], flush[order], number[order], df[order]
     at = np.flatnonzero(np.r_[True, flush[1:] != flush[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    del h, docs, keep, order, count
+    del h, keep, order, count
     trim()
-    cuts = list(zip(at.tolist(), np.r_[at[1:], len(doc)].tolist()))
+    bounds = np.r_[at, len(doc)]
     return pa.table({
         "flush": pa.array(flush[at], pa.int64()),
         "block": pa.array([block] * len(at), pa.int64()),
-        "docs": pa.array([_steps(doc[i:j]) for i, j in cuts], pa.binary()),
+        "docs": _steps(doc, bounds) if len(at) else pa.array([], pa.binary()),
         "counts": pa.array([b""] * len(at), pa.binary()),
-        "values": pa.array([number[i:j].tobytes() for i, j in cuts], pa.binary()),
-        "dfs": pa.array([df[i:j].tobytes() for i, j in cuts], pa.binary()),
+        "values": _blobs(number, bounds * 4),
+        "dfs": _blobs(df, bounds),
     })
 
 
@@ -193,13 +227,13 @@ def _survivors(t: float):
         sigs = _join(size_rows["values"], np.uint64).reshape(-1, 2)
         per = np.array([len(x) for x in _flat(rest["dfs"])], np.int64)
         column = (np.repeat(rest["block"].to_numpy(), per).astype(np.uint64) << np.uint64(32)) | _join(rest["values"], np.uint32)
-        row = np.concatenate([_unstep(x) for x in rest["docs"].to_pylist()] or [np.zeros(0, np.int64)])
+        row, _ = _unstep(rest["docs"])
         df = _join(rest["dfs"], np.uint8)
         shared = np.bincount(row, minlength=len(ids))
         keep = (shared >= least(sizes, t)) & (shared > 0)
         mask = keep[row]
         row, column, df = row[mask], column[mask], df[mask]
-        order = np.lexsort((column, df, row))
+        order = order_of(column, df, row)
         row, column = row[order], column[order]
         at = np.searchsorted(row, np.flatnonzero(keep))
         out = {c: [] for c in ("doc_id", "size", "n_shared", "anchor", "sig", "n_prefix", "columns")}
@@ -564,10 +598,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_GR
     return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _components(table: pa.Table) -> pa.Table:
+    """The connected components of all pairs of a table."""
+    a, b = (table[c].to_numpy() for c in ("doc_a", "doc_b"))
+    ids, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return pa.table({"doc_id": ids, "group": ids[joined(len(ids), number[: len(a)], number[len(a) :])]})
+
+
 def groups(pairs: DataFrame) -> DataFrame:
-    """(doc_id, group): connected components of the pairs, named by their lowest doc_id. Each round is cut into a table."""
+    """(doc_id, group): connected components of the pairs, named by their lowest doc_id. Of more than AT_ONCE pairs they are
+    found in rounds, each of which is cut into a table."""
     spark = pairs.sparkSession
     at = new_dir(spark, "groups")
+    if pairs.count() <= AT_ONCE:
+        return cut(pairs.select("doc_a", "doc_b").groupBy(F.lit(0).alias("all")).applyInArrow(_components, "doc_id long, group long"), f"{at}-out")
     edges = cut(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).unionByName(pairs.select(F.col("doc_b").alias("a"), F.col("doc_a").alias("b"))).distinct(), f"{at}/edges")
     label = cut(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), f"{at}/label-0")
     k = 0
