@@ -69,6 +69,28 @@ def test_exact_dedup_in_batches(spark, tmp_path):
     assert all(by[k] in kept and by[k] % 7 == k % 7 for k in by)
 
 
+def test_exact_dedup_state_by_size(spark, tmp_path, monkeypatch):
+    """The state has as many partitions as its fingerprints need, however many spark.sql.shuffle.partitions asks for."""
+    rows = [(k, f"t{k % 70}") for k in range(600)]
+    prints = frame(spark, rows).select("doc_id", exact_dedup.sha256(F.col("text")).alias("digest"), F.lit("f").alias(exact_dedup.FILE), F.col("doc_id").alias(exact_dedup.ROW))
+    prints.write.parquet(str(tmp_path / "prints"))
+    parts = lambda at: sum(p.name.isdigit() for p in (at / "stream/state/0").iterdir())
+    name, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(5 * cores))
+    try:
+        for k, least in enumerate((exact_dedup.STATE_BYTES, 2000)):
+            monkeypatch.setattr(exact_dedup, "STATE_BYTES", least)
+            at = tmp_path / str(k)
+            got = exact_dedup.first_seen(spark, str(tmp_path / "prints"), prints.schema, str(at)).collect()
+            assert sorted(r.first_doc_id for r in got) == list(range(70))
+            size = sum(p.stat().st_size for p in (tmp_path / "prints").glob("*.parquet"))
+            assert parts(at) == (cores if not k else max(cores, -(-size // least))) and spark.conf.get(name) == str(5 * cores)
+    finally:
+        spark.conf.set(name, before)
+    assert size > 2000 * cores
+
+
 def test_exact_dedup_odd(spark):
     got = exact_dedup.exact_dedup(odd(spark)).collect()
     assert len(got) == 9 and sum(r.is_duplicate for r in got) == 3  # of the four "one two three" one is first

@@ -21,6 +21,8 @@ from .common import cut, documents, file_system, new_dir, remove
 FILE, ROW = "__content_file", "__content_row"
 #: Bytes of fingerprints that a micro-batch takes at most.
 BATCH_BYTES = 64 << 30
+#: Bytes of fingerprint files for each partition of the state.
+STATE_BYTES = 8 << 20
 #: Rows of a file that one fetch covers; about a row group, which is decoded from its start.
 FETCH_ROWS = 1 << 20
 
@@ -65,6 +67,18 @@ def keyed(docs: DataFrame, name: str) -> DataFrame:
         seed += 1
 
 
+def state_partitions(spark: SparkSession, fingerprints: str) -> int:
+    """Partitions of the state, by the size of the fingerprints: a task for each core at least.
+
+    spark.sql.shuffle.partitions suits tables of texts; the fingerprints are a fiftieth of those, and nothing coalesces the
+    partitions of a stream. Each of them opens a RocksDB and commits a set of files of its own, and on a mounted file system
+    without Hadoop's native library the executor starts a process or more for each file that it makes.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fingerprints)
+    size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return max(spark.sparkContext.defaultParallelism, -(-size // STATE_BYTES))
+
+
 def first_seen(spark: SparkSession, fingerprints: str, schema, at: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Digests seen more than once, with the first document of each. Runs the stream over what the folder holds now.
 
@@ -77,13 +91,15 @@ def first_seen(spark: SparkSession, fingerprints: str, schema, at: str, batch_by
     def keep(batch: DataFrame, number: int) -> None:
         batch.where("n > 1").select("digest", "first.doc_id", f"first.{FILE}", f"first.{ROW}").write.mode("overwrite").parquet(f"{at}/seen/batch={number}")
 
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.shuffle.partitions": str(state_partitions(spark, fingerprints))}
+    before = {name: spark.conf.get(name, None) for name in conf}
     try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
         state.writeStream.outputMode("update").option("checkpointLocation", f"{at}/stream").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     try:
         seen = spark.read.parquet(f"{at}/seen")
     except AnalysisException:  # no documents, so no batch
