@@ -116,6 +116,19 @@ def test_digests():
     assert m.finish()["md5"] == hashes.digest("md5", b"ab") and m.finish()["md5"] == hashes.digest("md5", b"")
 
 
+def test_blake3_of_many_inputs(monkeypatch):
+    """Short inputs are hashed together: steps of numpy are counted by depth, not by input."""
+    data = [bytes(k % 251 for k in range(n)) for n in (0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 2049, 3072, 5000, 7168, 31_744)]
+    steps, compress = [], hashes._compress
+    monkeypatch.setattr(hashes, "_compress", lambda cv, *rest: steps.append(1) or compress(cv, *rest))
+    got = hashes.blake3_each(data * 40)
+    assert len(steps) < 40
+    assert got == [hashes.blake3(x) for x in data] * 40 == hashes.blake3_each(data * 40, most=1)
+    assert got[10].hex().startswith("b98cb0ff3623be03326b373de6b90952")
+    assert hashes.blake3_each([]) == []
+
+
+
 def test_url_paths():
     for a, b in (("", ""), (" ", "_"), (".", "_"), ("..", "__"), ("/", "%2F"), ("nul", "_nul"), ("nul.tar.gz", "_nul.tar.gz"), ("?", "%3F"), ("ÿ", "%C3%BF"), ("a" * 300, "a" * 200)):
         assert urls.escape_component(a) == b

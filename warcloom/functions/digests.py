@@ -73,7 +73,13 @@ def _python(algorithm: str):
     def udf(values: pd.Series) -> pd.Series:
         return pd.Series([None if v is None else hashes.digest(algorithm, bytes(v)) for v in values], dtype=object)
 
-    return udf
+    @F.pandas_udf(BINARY)
+    def blake3(values: pd.Series) -> pd.Series:
+        has = [v is not None for v in values]
+        found = iter(hashes.blake3_each([bytes(v) for v in values if v is not None]))
+        return pd.Series([next(found) if h else None for h in has], dtype=object)
+
+    return blake3 if algorithm == "blake3" else udf
 
 
 def digest(algorithm: str, data: str | Column) -> Column:
