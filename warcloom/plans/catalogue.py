@@ -78,9 +78,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda x: F.when(F.col("page_id") % 2 == 1, x.lower()).otherwise(x)
     pairs = F.array(*[F.struct(name(k).alias("name"), value(v).cast("string").alias("value")) for k, v in _FIELDS.items()])
     size = F.octet_length("html").cast("long")
-    w = W.partitionBy(F.col("page_id") % 4).orderBy("page_id")
+    w = W.partitionBy(F.col("_id") % 4).orderBy("_id")
+    # positions are summed up over ids and sizes alone; a query that doesn't ask for them has no join
+    places = pages.select(F.col("page_id").alias("_id"), size.alias("_size")).select("_id", "_size", (F.sum(F.col("_size") + 512).over(w) - F.col("_size") - 512).alias("position"))
+    places = places.groupBy("_id", "_size").agg(F.max("position").alias("position"))
+    pages = pages.withColumn("_n", size)
+    pages = pages.join(places, (F.col("page_id") == F.col("_id")) & (F.col("_n") == F.col("_size")), "left")
     return pages.select(
-        "page_id", F.expr(_FILE).alias("file"), (F.sum(size + 512).over(w) - size - 512).alias("position"), F.expr("page_id div 4").alias("record_index"), F.lit("WARC/1.1").alias("version"),
+        "page_id", F.expr(_FILE).alias("file"), "position", F.expr("page_id div 4").alias("record_index"), F.lit("WARC/1.1").alias("version"),
         F.filter(pairs, lambda f: f["value"].isNotNull()).alias("fields"), size.alias("content_length"), F.col("html").cast("binary").alias("block"), (F.col("page_id") % 50 == 49).alias("rat_fault"),
     )
 

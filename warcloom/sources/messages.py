@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import shutil
+import uuid
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +18,12 @@ from ..functions.digests import checksums
 from ..model import BINARY, MESSAGE_KINDS, MESSAGES
 from ..operators.extract import extract_content, path_components, with_content
 from .archive import local
-from .sequences import message_of, message_value, read_items, write_item
+from .sequences import first_item, is_blank, item_value, kind_of, message_of, message_value, read_items, stream_items, write_item
 
 #: Bytes in a message of block data.
 CHUNK = 4096
+#: Bytes of a message file that one task reads.
+SPLIT = 16 << 20
 
 
 def _message(kind: str, body: Column | None = None) -> Column:
@@ -103,10 +108,12 @@ def write_messages(messages: DataFrame, path: str, fmt: str = "json-seq", single
     """Messages in order as a folder of part files (one, if single)."""
     order = ["file", "record_index", "seq"]
     parts = messages.orderBy(*order)
+    folder = local(path)
     if fmt == "cbor-seq":
         rows = to_cbor(parts).select("data")
-        rows = rows.coalesce(1) if single else rows
-        folder = local(path)
+        if single:
+            _write_single(rows, folder, "part-00000.cbor")
+            return
 
         def put(batches):
             from pyspark import TaskContext
@@ -123,20 +130,78 @@ def write_messages(messages: DataFrame, path: str, fmt: str = "json-seq", single
         rows.mapInPandas(put, "file string").collect()
         return
     text = to_json_text(parts).select("text")
-    text = text.coalesce(1) if single else text
     if fmt == "json-seq":
         text = text.select(F.concat(F.lit("\x1e"), "text").alias("text"))
+    if single and "://" not in folder:
+        _write_single(text.select(F.concat("text", F.lit("\n")).cast("binary").alias("data")), folder, "part-00000.txt")
+        return
+    text = text.coalesce(1) if single else text
     text.write.mode("overwrite").text(path)
 
 
+def _write_single(rows: DataFrame, folder: str, name: str) -> None:
+    """The bytes of the rows, in order, as the one file of a folder. Each task writes a part, then copies it to its place in the file."""
+    spark = rows.sparkSession
+    hidden = os.path.join(os.path.dirname(os.path.abspath(folder)), f".{os.path.basename(os.path.abspath(folder))}.{uuid.uuid4().hex}")
+    whole = os.path.join(hidden, name)
+
+    def put(batches):
+        from pyspark import TaskContext
+
+        os.makedirs(hidden, exist_ok=True)
+        own, size = f"{uuid.uuid4().hex}.part", 0
+        with open(os.path.join(hidden, own), "wb") as f:
+            for b in batches:
+                for d in b.column(0):
+                    size += f.write(d.as_buffer())
+        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "own": [own], "size": [size]})
+
+    try:
+        os.makedirs(hidden, exist_ok=True)
+        found = [r for r in sorted(rows.mapInArrow(put, "part long, own string, size long").collect()) if r["size"]]
+        places, at = [], 0
+        for r in found:
+            places.append((r["own"], at))
+            at += r["size"]
+        with open(whole, "wb") as f:
+            f.truncate(at)
+
+        def place(batches):
+            for b in batches:
+                for k in b.column(0).to_pylist():
+                    own, start = places[k]
+                    with open(os.path.join(hidden, own), "rb") as part, open(whole, "r+b") as f:
+                        f.seek(start)
+                        shutil.copyfileobj(part, f, 1 << 20)
+                    yield pa.RecordBatch.from_pydict({"k": [k]})
+
+        if places:
+            spark.range(0, len(places), 1, len(places)).mapInArrow(place, "k long").collect()
+        if os.path.isdir(folder):
+            shutil.rmtree(folder)
+        elif os.path.exists(folder):
+            os.remove(folder)
+        os.makedirs(folder)
+        os.replace(whole, os.path.join(folder, name))
+    finally:
+        shutil.rmtree(hidden, ignore_errors=True)
+
+
 def records_of(data: bytes, fmt: str, file: str, check: str = "all", strict: bool = False):
     """Records of one message file, by the order of its messages: header, chunks, end, and again.
 
     Every checksum that the end of a block carries must hold (check='first': only the first of crc32, crc32c, xxh3);
     an end without any is an error. Extract messages are passed over unless strict.
     """
-    index, header, chunks, position, name = 0, None, None, 0, file
-    for value in read_items(data, fmt):
+    yield from _assembled(((0, v) for v in read_items(data, fmt)), file, check, strict, 0, file, 0)
+
+
+def _assembled(items, file: str, check: str, strict: bool, index: int, name: str | None, position: int, end: int | None = None):
+    """The records of (start, value) pairs, going on from a state between two records; those that begin before `end`."""
+    header, chunks = None, None
+    for start, value in items:
+        if end is not None and start >= end and chunks is None:
+            return
         kind, body = message_of(value)
         if kind.startswith("Extract") and not strict:
             continue
@@ -164,25 +229,147 @@ def records_of(data: bytes, fmt: str, file: str, check: str = "all", strict: boo
         raise ParseError("UnexpectedEof", "messages end within a record")
 
 
-def read_messages(spark: SparkSession, *paths: str, fmt: str = "json-seq", check: str = "all", strict: bool = False) -> DataFrame:
-    """records from message files. A file's messages depend on their order, so a file is one task's work."""
+# ---- message files in splits: what each holds is planned first, then every task has the state that its records begin in
+
+
+def _opened(path: str):
+    if "://" not in local(path):
+        return open(local(path), "rb")  # noqa: SIM115
+    import pyarrow.fs
+
+    fs, inner = pyarrow.fs.FileSystem.from_uri(path)
+    return fs.open_input_file(inner)
+
+
+_PLAN = "path string, start long, end long, first long, stop long, own long, records long, enters boolean, leaves boolean, named boolean, name string, position long"
+
+
+def _planned(f, path: str, fmt: str, strict: bool, start: int, end: int, first: int | None, most: int | None = None) -> dict:
+    """What the items that begin in [first, end) hold: stop is the end of the last, own the first that isn't of a record of an
+    earlier split (enters: there are such), leaves whether a record is open at the end (null: as it was), records how many begin.
+    named, name and position tell of the last Metadata and EndOfFile."""
+    out = dict.fromkeys((x.split(" ")[0] for x in _PLAN.split(", ")), None) | {"path": path, "start": start, "end": end, "first": first, "records": 0, "enters": False, "named": False}
+    if first is None:
+        return out
+    closed = False
+    for at, stop, item in stream_items(f, first, fmt, most=most):
+        if at >= end:
+            break
+        out["stop"] = stop
+        if is_blank(item, fmt):
+            continue
+        kind, body = kind_of(item, fmt), None
+        if kind is None or kind == "Metadata":
+            kind, body = message_of(item_value(item, fmt))
+        if kind.startswith("Extract") and not strict:
+            continue
+        if out["own"] is None and not closed and kind in ("BlockChunk", "BlockEnd"):
+            out["enters"] = True
+            if kind == "BlockEnd":
+                closed, out["leaves"] = True, False
+            continue
+        if out["own"] is None:
+            out["own"], out["leaves"] = at, False
+        if kind == "Metadata":
+            out |= {"named": True, "name": body.get("file", path), "position": body.get("position", 0)}
+        elif kind == "EndOfFile":
+            out["position"] = 0
+        elif kind == "Header":
+            out["records"], out["leaves"] = out["records"] + 1, True
+        elif kind == "BlockEnd":
+            out["leaves"] = False
+        if stop >= end:
+            break
+    return out
+
+
+def _chained(plans: list[dict], fmt: str, strict: bool):
+    """Of a file's plans, in order, the state in which each split's own records begin. Where a CBOR sequence was entered at a
+    wrong place, its plan is made again from the right one."""
+    at, opened, index, name, position = 0, False, 0, plans[0]["path"], 0
+    for p in plans:
+        if fmt == "cbor-seq":
+            if at >= p["end"]:
+                continue
+            if p["first"] != at:
+                with _opened(p["path"]) as f:
+                    p = _planned(f, p["path"], fmt, strict, p["start"], p["end"], at)
+            at = p["stop"]
+        if p["enters"] and not opened:
+            raise ParseError("Sequence", "BlockChunk isn't expected here", file=p["path"])
+        if p["own"] is not None:
+            yield {"path": p["path"], "own": p["own"], "end": p["end"], "index": index, "name": name, "position": position}
+        opened = opened if p["leaves"] is None else p["leaves"]
+        index += p["records"]
+        name = p["name"] if p["named"] else name
+        position = position if p["position"] is None else p["position"]
+
+
+def read_messages(spark: SparkSession, *paths: str, fmt: str = "json-seq", check: str = "all", strict: bool = False, split: int = SPLIT) -> DataFrame:
+    """records from message files. A file is read in splits, twice: for what the messages of each split leave to the next, then
+    for the records. A record is the work of the split that its header begins in."""
     schema = "file string, position long, record_index long, version string, fields array<struct<name: string, value: string>>, content_length long, block binary"
+    columns = ["file", "position", "record_index", "version", "fields", "content_length", "block"]
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", "length").where("length > 0")
+    n = files.agg(F.sum(F.ceil(F.col("length") / F.lit(split))), 2 * F.ceil(F.sum("length") / F.lit(split))).first()
+    tasks = max(1, min(int(n[0] or 0), int(n[1] or 0)))
+    splits = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split).cast("long"))).alias("start"))
+    splits = splits.select("path", "start", F.least("length", F.col("start") + F.lit(split)).alias("end")).repartition(tasks)
+    planned, chained = _arrow_schema(_PLAN), _arrow_schema(_WORK)
+
+    def plan(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                path, start, end = row["path"], row["start"], row["end"]
+                with _opened(path) as f:
+                    before = b""
+                    if start:
+                        f.seek(start - 1)
+                        before = f.read(1)
+                    first = first_item(f.read(end - start + 16) if start else b"", before, fmt, end - start)
+                    first = None if first is None else start + first
+                    try:
+                        out = _planned(f, path, fmt, strict, start, end, first, 4 * split if start else None)
+                    except (ArchiveError, RecursionError, TypeError, ValueError) as e:
+                        if fmt != "cbor-seq":
+                            if isinstance(e, ArchiveError):
+                                e.file = e.file or path
+                            raise
+                        out = _planned(f, path, fmt, strict, start, end, None)  # the guess was wrong, or the file is; that turns out from the right place
+                yield pa.RecordBatch.from_pylist([out], schema=planned)
+
+    def chain(table):
+        plans = sorted(table.to_pylist(), key=lambda p: p["start"])
+        return pa.Table.from_pylist(list(_chained(plans, fmt, strict)), schema=chained)
 
     def load(batches):
-        for pdf in batches:
-            for file, data in zip(pdf["path"], pdf["content"]):
-                held, size = [], 0
-                try:
-                    for r in records_of(bytes(data), fmt, file, check, strict):
-                        held.append(r)
-                        size += len(r[6])
-                        if size > 16 << 20:
-                            yield pd.DataFrame(held, columns=[c.split(" ")[0] for c in ("file", "position", "record_index", "version", "fields", "content_length", "block")])
-                            held, size = [], 0
-                except ArchiveError as e:
-                    e.file = e.file or file
-                    raise
+        for b in batches:
+            for row in b.to_pylist():
+                file, held, size = row["path"], [], 0
+                with _opened(file) as f:
+                    items = ((at, item_value(x, fmt)) for at, _, x in stream_items(f, row["own"], fmt) if not is_blank(x, fmt))
+                    try:
+                        for r in _assembled(items, file, check, strict, row["index"], row["name"], row["position"], row["end"]):
+                            held.append(r)
+                            size += len(r[6])
+                            if size > 16 << 20:
+                                yield pa.RecordBatch.from_pandas(pd.DataFrame(held, columns=columns), schema=records, preserve_index=False)
+                                held, size = [], 0
+                    except ArchiveError as e:
+                        e.file = e.file or file
+                        raise
                 if held:
-                    yield pd.DataFrame(held, columns=["file", "position", "record_index", "version", "fields", "content_length", "block"])
+                    yield pa.RecordBatch.from_pandas(pd.DataFrame(held, columns=columns), schema=records, preserve_index=False)
+
+    records = _arrow_schema(schema)
+    return splits.mapInArrow(plan, _PLAN).groupBy("path").applyInArrow(chain, _WORK).repartition(tasks).mapInArrow(load, schema)
+
+
+_WORK = "path string, own long, end long, index long, name string, position long"
+
+
+def _arrow_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(load, schema)
+    return to_arrow_schema(StructType.fromDDL(ddl))
