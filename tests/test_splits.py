@@ -79,3 +79,8 @@ def by_many_tasks(spark, tmp_path, fmt: str) -> None:
 def test_jsonl_in_splits(spark, tmp_path):
     splits_agree(tmp_path, "jsonl")
     by_many_tasks(spark, tmp_path, "jsonl")
+
+
+def test_json_seq_in_splits(spark, tmp_path):
+    splits_agree(tmp_path, "json-seq")
+    by_many_tasks(spark, tmp_path, "json-seq")
