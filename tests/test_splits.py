@@ -84,3 +84,8 @@ def test_jsonl_in_splits(spark, tmp_path):
 def test_json_seq_in_splits(spark, tmp_path):
     splits_agree(tmp_path, "json-seq")
     by_many_tasks(spark, tmp_path, "json-seq")
+
+
+def test_cbor_seq_in_splits(spark, tmp_path):
+    splits_agree(tmp_path, "cbor-seq")
+    by_many_tasks(spark, tmp_path, "cbor-seq")
